@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, mixing, quality, sharding
+from lodestone.llm import bpe, licenses, mixing, neardup, quality, sharding, urls
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op2_near_duplicates": neardup.query,
+    "op3_licenses": licenses.query,
+    "op6_url_filter": urls.query,
     "op7_sharding": sharding.query,
     "op8_bpe": bpe.query,
     "op9_mixing": mixing.query,
@@ -13,5 +16,6 @@ QUERIES = {
 
 SQL = {
     "op1_quality_rules": quality.SQL,
+    "op6_url_filter": urls.SQL,
     "op9_mixing": mixing.SQL,
 }
