@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +68,23 @@ def count_words(text: Column, separators: str = SPACE) -> Column:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of a partition that is sorted by numeric `keys`, one table each; holds one group and one batch."""
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if held is not None:
+            rows = pa.concat_tables([held, rows])
+        if not rows.num_rows:
+            continue
+        cut = np.zeros(rows.num_rows - 1, bool)
+        for k in keys:
+            cut |= np.diff(rows.column(k).to_numpy()) != 0
+        edges = [0, *(np.flatnonzero(cut) + 1)]
+        for lo, hi in zip(edges, edges[1:]):
+            yield rows.slice(lo, hi - lo)
+        held = rows.slice(edges[-1])
+    if held is not None:
+        yield held

@@ -38,5 +38,6 @@ def components(edges: DataFrame) -> DataFrame:
         dropped(now), dropped(large)
         now = small
         if after == before:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
         before = after
