@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, licenses, mixing, neardup, quality, sharding, urls, vectors
+from lodestone.llm import bpe, licenses, lines, mixing, neardup, quality, sharding, urls, vectors
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_near_duplicates": neardup.query,
     "op3_licenses": licenses.query,
+    "op4_line_dedup": lines.query,
     "op5_near_vectors": vectors.query,
     "op6_url_filter": urls.query,
     "op7_sharding": sharding.query,
