@@ -245,8 +245,9 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
         bpe = encoder(path)
         kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
         for batch in batches:
-            cols: dict[str, list] = {f: [] for f in fields}
+            at = 0
             for texts in groups(batch.column(1).to_pylist()):
+                cols: dict[str, list] = {f: [] for f in fields}
                 for parts in bpe.encode_batch(texts):
                     if "n_tokens" in cols:
                         cols["n_tokens"].append(sum([p[0] for p in parts]))
@@ -260,7 +261,8 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
                             cols["decoded"].append(text)
                         if "decoded_sha256" in cols:
                             cols["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, type=kinds.get(f, pa.string())) for f, v in cols.items())], names=[id_col, *cols])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *(pa.array(v, type=kinds.get(f, pa.string())) for f, v in cols.items())], names=[id_col, *cols])
+                at += len(texts)
 
     return narrow.mapInArrow(run, schema)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import bpe, licenses, lines, mixing, neardup, quality, sharding, urls, vectors
+from lodestone.llm import bpe, licenses, lines, mixing, neardup, order, quality, sharding, urls, vectors
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_sharding": sharding.query,
     "op8_bpe": bpe.query,
     "op9_mixing": mixing.query,
+    "op10_training_order": order.query,
 }
 
 SQL = {
