@@ -44,8 +44,8 @@ def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
         .withColumn("room", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
         .withColumn("weights", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
         .withColumn("level_here", F.col("room") / F.col("weights"))
-        # Sources up to the first whose cap lies above the level of what is left are full.
-        .withColumn("level", F.min(F.when(F.col("level_here") <= F.col("full_at"), F.col("level_here"))).over(whole))
+        # Sources before the first whose cap lies above the level of what is left are full; from there on levels only fall.
+        .withColumn("level", F.max(F.when(F.col("level_here") <= F.col("full_at"), F.col("level_here"))).over(whole))
         .withColumn("target", F.coalesce(F.least("cap", F.col("level") * F.col("weight")), F.col("cap")))
     )
     return ranked.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0).alias("rate"))
@@ -87,7 +87,7 @@ s3 AS (
   SELECT *, (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY full_at, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room,
     sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY full_at, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weights
   FROM s2),
-s4 AS (SELECT *, min(CASE WHEN room / weights <= full_at THEN room / weights END) OVER () AS level FROM s3),
+s4 AS (SELECT *, max(CASE WHEN room / weights <= full_at THEN room / weights END) OVER () AS level FROM s3),
 s5 AS (SELECT *, coalesce(least(cap, level * weight), cap) AS target FROM s4),
 s6 AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0) ELSE 0 END AS rate FROM s5)
 SELECT d.doc_id, d.size, s.source_size, s.target,
