@@ -83,7 +83,7 @@ def story_refs(files: DataFrame, text: str = "text") -> DataFrame:
 
 def mentions(text: Column, requirement: Column) -> Column:
     """FR-7 stands in FR-7.1 but not in FR-70."""
-    return text.rlike(F.concat(F.lit(r"(^|[^A-Za-z0-9_])"), requirement, F.lit(r"([^0-9]|$)")))
+    return F.call_function("rlike", text, F.concat(F.lit(r"(^|[^A-Za-z0-9_])"), requirement, F.lit(r"([^0-9]|$)")))
 
 
 def requirement_ids(lines: DataFrame) -> DataFrame:
