@@ -54,6 +54,14 @@ def dropped(df: DataFrame) -> None:
         jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def count_words(text: Column, separators: str = SPACE) -> Column:
     """Maximal runs of characters outside `separators`; null has none.
 

@@ -1,7 +1,7 @@
 """Line dedup by a fixed-depth tree of log templates.
 
 A line's path in the tree is its number of tokens and its first DEPTH tokens; tokens with a digit or @
-are fields and stand as <*>. Leaves whose lines recur in too few documents are done with: a bitmap of
+are fields and stand as <*>, unless most of the line is. Leaves whose lines recur in too few documents are done with: a bitmap of
 fixed size, gathered from counts per leaf, keeps their lines from being shuffled at all. In each other
 leaf the tokens vote at each position: one that holds over half of the leaf's lines is constant, else
 the position is a field. A line that agrees with its leaf's template in SIMILAR of its positions is an
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import count_words, table, written
+from lodestone.llm.common import count_words, free, table, written
 
 DEPTH, SIMILAR, MIN_DOCS, LONG, LONG_DOCS, MIN_TOKENS, MAX_LOSS = 3, 0.75, 10, 50, 3, 4, 0.5
 #: Words of 64 bits in the bitmap of leaves: 2 ** 17 rows, 8 million bits.
@@ -38,10 +38,13 @@ FIELD = re.compile(rb"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 
 
 def masked(line: bytes) -> list[bytes]:
-    """Tokens, with fields as <*>."""
+    """Tokens, with fields as <*>; a line that is mostly fields has no template and stays as it is."""
+    tokens = line.split()
     if len(line.translate(None, FIELD_SIGNS)) != len(line):
-        line = FIELD.sub(b"<*>", line)
-    return line.split()
+        found = FIELD.sub(b"<*>", line).split()
+        if 2 * found.count(b"<*>") <= len(found):
+            return found
+    return tokens
 
 
 def signed64(x: int) -> int:
@@ -111,17 +114,18 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
-    """All rows and columns of df, the text without its recurring lines, and __dropped, __dropped_words of each."""
+    """All rows and columns of df, the text without its recurring lines, and n_dropped, n_dropped_words of each (with _ added if df has such columns)."""
     drops = recurring_lines(df.select(df[id_col].cast("bigint").alias("id"), df[text_col].cast("string").alias("text")))
-    drops = written(drops.groupBy(F.col("id").alias("__id")).agg(F.collect_set("pos").alias("__pos"), F.collect_set(F.struct("pos", "n")).alias("__lost")))
-    joined = df.join(drops, df[id_col].cast("bigint") == drops["__id"], "left")
-    lost = F.aggregate("__lost", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    key, pos, dropped, dropped_words = (free(df, c) for c in ("id_of_drops", "pos_of_drops", "n_dropped", "n_dropped_words"))
+    drops = written(drops.groupBy(F.col("id").alias(key)).agg(F.collect_set(F.struct("pos", "n")).alias(pos)))
+    joined = df.join(drops, df[id_col].cast("bigint") == drops[key], "left")
+    lost = F.aggregate(pos, F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
     edit = F.coalesce(lost <= count_words(df[text_col]) * F.lit(max_loss), F.lit(False))
-    shorter = F.array_join(F.filter(F.split(df[text_col], "\n"), lambda x, i: ~F.array_contains("__pos", i)), "\n")
+    shorter = F.array_join(F.filter(F.split(df[text_col], "\n"), lambda x, i: ~F.array_contains(F.transform(pos, lambda p: p["pos"]), i)), "\n")
     cols = [F.when(edit, shorter).otherwise(df[c]).alias(c) if c == text_col else df[c] for c in df.columns]
-    return joined.select(*cols, F.when(edit, F.size("__pos")).otherwise(0).alias("__dropped"), F.when(edit, lost).otherwise(0).alias("__dropped_words"))
+    return joined.select(*cols, F.when(edit, F.size(pos)).otherwise(0).alias(dropped), F.when(edit, lost).otherwise(0).alias(dropped_words))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines_left"), F.col("__dropped").alias("n_dropped"), F.col("__dropped_words").alias("n_dropped_words"), F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+    return out.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines_left"), "n_dropped", "n_dropped_words", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.common import count_words, table, written
+from lodestone.llm.common import count_words, free, table, written
 
 MOST, SEED = 3, "mix-1"
 
@@ -67,10 +67,11 @@ def emitted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     The rate depends on the source alone, so the texts are joined with one row per source.
     """
     sized = df.select(df[source_col].cast("string").alias("source"), count_words(df[text_col]).alias("size"))
-    rates = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), most).select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
-    joined = df.join(rates, df[source_col].cast("string").eqNullSafe(F.col("__source")))
-    copies = F.floor("__rate").cast("int") + (drawn(seed, F.col(id_col)) < F.col("__rate") - F.floor("__rate")).cast("int")
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*[df[c] for c in df.columns])
+    name, rate, copy = free(df, "source_of_rate"), free(df, "rate"), free(df, "copy")
+    rates = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), most).select(F.col("source").alias(name), F.col("rate").alias(rate))
+    joined = df.join(rates, df[source_col].cast("string").eqNullSafe(F.col(name)))
+    copies = F.floor(rate).cast("int") + (drawn(seed, df[id_col]) < F.col(rate) - F.floor(rate)).cast("int")
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).select(*df.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
