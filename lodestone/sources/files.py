@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.operators.corpus import MAX_BYTES, SKIPPED, classify
+from lodestone.operators.corpus import MAX_BYTES, PLANNING, SKIPPED, classify
 from lodestone.operators.trace import MAX_FILES, MAX_TOTAL, within_budget
 
 #: Application folders of a trace scan, suffixes of sources, size caps, order of the first places.
@@ -23,9 +23,13 @@ def files(spark: SparkSession, root: str, glob: str = "*", most: int = MAX_BYTES
 
     Sizes and times are filtered before contents are read.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    full = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
+    store = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    # Spark's listing passes over names that begin with _, unless they are asked for.
+    hidden = spark._jvm.org.apache.hadoop.fs.Path(base, PLANNING.split("/")[0])
+    roots = [root, *([hidden.toString()] if store.exists(hidden) else [])]
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(roots)
+    full = store.makeQualified(base).toString().rstrip("/") + "/"
     relative = F.substring(F.regexp_replace("path", "^file:/+", "file:/"), len(full.replace("file:///", "file:/")) + 1, 1 << 20)
     folders = F.slice(F.split(relative, "/"), F.lit(1), F.size(F.split(relative, "/")) - 1)
     kept = raw.filter(~F.exists(folders, lambda p: p.isin(*SKIPPED) | p.startswith(".")))
