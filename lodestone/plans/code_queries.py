@@ -76,9 +76,10 @@ def requirement_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The first five words of a passage against each run of five words of a document; texts join again only for the hits.
     key = lambda w, i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(5)), " "))
     keyed = passages.withColumn("words", F.split("passage", " ")).select("item_id", "passage", key(F.col("words"), F.lit(1)).alias("key"))
-    words = docs.select("doc_id", F.split("text", "[ \n]").alias("words"))
-    starts = words.select("doc_id", "words", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - 4))).alias("i"))
-    hits = starts.select("doc_id", key(F.col("words"), F.col("i")).alias("key")).join(keyed, "key").select("doc_id", "item_id", "passage").distinct()
+    words = docs.select("doc_id", F.explode(F.array(F.split("text", "[ \n]"))).alias("words"))  # stays one column, see clones.windows
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - 4))
+    keys = words.select("doc_id", F.explode(F.array_distinct(F.transform(starts, lambda i: key(F.col("words"), i)))).alias("key"))
+    hits = keys.join(keyed, "key").select("doc_id", "item_id", "passage").distinct()
     found = docs.join(hits, "doc_id").filter(F.contains("text", F.col("passage")))
     return found.select("item_id", "doc_id", tx.line_of(F.col("text"), F.call_function("instr", F.col("text"), F.col("passage")) - 1).alias("line"))
 
