@@ -29,8 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
-    kept = written(neardup.near_duplicates(docs).filter("kept").select("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    copies = written(neardup.near_duplicates(docs).filter("not kept").select("doc_id"))
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,6 +54,29 @@ def dropped(df: DataFrame) -> None:
         jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+#: Words of 64 bits in a bitmap: 2 ** 17 rows, 8 million bits, however much it stands for.
+BITMAP = 1 << 17
+
+
+def _slot(key: Column) -> tuple[Column, Column]:
+    at = F.pmod(F.xxhash64(key), F.lit(BITMAP * 64))
+    return F.shiftright(at, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int"))
+
+
+def bitmap(keys: DataFrame, key: str) -> DataFrame:
+    """The keys as a written bitmap of at most BITMAP rows."""
+    word, bit = _slot(F.col(key))
+    return written(keys.select(word.alias("bitmap_word"), bit.alias("bitmap_bit")).groupBy("bitmap_word").agg(F.bit_or("bitmap_bit").alias("bitmap_bits")))
+
+
+def perhaps_in(df: DataFrame, bits: DataFrame, key: Column, flag: str) -> DataFrame:
+    """df with a flag that is false only for keys that are not in the bitmap; nothing is shuffled."""
+    word, bit = _slot(key)
+    # At most BITMAP rows.
+    joined = df.join(F.broadcast(bits), word == bits["bitmap_word"], "left")
+    return joined.select(*[df[c] for c in df.columns], F.coalesce(bits["bitmap_bits"].bitwiseAND(bit) != 0, F.lit(False)).alias(flag))
+
+
 def free(df: DataFrame, name: str) -> str:
     """A column name that df does not have, whatever the case."""
     taken = {c.lower() for c in df.columns}

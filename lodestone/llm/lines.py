@@ -28,11 +28,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import count_words, free, table, written
+from lodestone.llm.common import bitmap, count_words, dropped, free, perhaps_in, table, written
 
 DEPTH, SIMILAR, MIN_DOCS, LONG, LONG_DOCS, MIN_TOKENS, MAX_LOSS = 3, 0.75, 10, 50, 3, 4, 0.5
-#: Words of 64 bits in the bitmap of leaves: 2 ** 17 rows, 8 million bits.
-BITMAP = 1 << 17
 FIELD_SIGNS = b"0123456789@"
 FIELD = re.compile(rb"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 
@@ -89,12 +87,7 @@ def enough(docs: Column, n: Column) -> Column:
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """From (id, text): (id, pos, n) of the lines to drop."""
     leaves = parsed(docs, False).groupBy("leaf").agg(F.count_if("first").alias("docs"), F.max("n").alias("n")).filter(enough(F.col("docs"), F.col("n")))
-    bit = F.pmod("leaf", F.lit(BITMAP * 64))
-    word = lambda b: F.shiftright(b, 6).cast("int")
-    one = lambda b: F.call_function("shiftleft", F.lit(1).cast("bigint"), (b % 64).cast("int"))
-    bitmap = written(leaves.select(word(bit).alias("word"), one(bit).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")))
-    # At most BITMAP rows.
-    lines = parsed(docs, True).withColumn("word", word(bit)).join(F.broadcast(bitmap), "word").filter(F.col("bits").bitwiseAND(one(bit)) != 0).drop("word", "bits")
+    lines = perhaps_in(parsed(docs, True), bitmap(leaves, "leaf"), F.col("leaf"), "recurs").filter("recurs").drop("recurs")
     lines = written(lines)
     distinct = written(lines.groupBy("h1", "h2").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.count_if("first").alias("docs"), F.first("tokens").alias("tokens")))
     # Votes, only where a leaf has lines that differ.
@@ -110,20 +103,28 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     # One row per document first, so that the second count only adds.
     per_doc = placed.groupBy("x", "y", "id").agg(F.min("pos").alias("pos"), F.first("n").alias("n"))
     recurring = written(per_doc.groupBy("x", "y").agg(F.count("*").alias("docs"), F.min(F.struct("id", "pos")).alias("kept"), F.first("n").alias("n")).filter(enough(F.col("docs"), F.col("n"))).select("x", "y", "kept"))
-    return placed.join(recurring, ["x", "y"]).filter(~F.struct("id", "pos").eqNullSafe(F.col("kept"))).select("id", "pos", "n")
+    drops = placed.join(recurring, ["x", "y"]).filter(~F.struct("id", "pos").eqNullSafe(F.col("kept"))).select("id", "pos", "n")
+    drops = written(drops)
+    for used in (lines, distinct, mixed, templates, named, placed, recurring):
+        dropped(used)
+    return drops
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
     """All rows and columns of df, the text without its recurring lines, and n_dropped, n_dropped_words of each (with _ added if df has such columns)."""
     drops = recurring_lines(df.select(df[id_col].cast("bigint").alias("id"), df[text_col].cast("string").alias("text")))
-    key, pos, dropped, dropped_words = (free(df, c) for c in ("id_of_drops", "pos_of_drops", "n_dropped", "n_dropped_words"))
+    key, pos, flag, n_dropped, n_words = (free(df, c) for c in ("id_of_drops", "pos_of_drops", "perhaps_dropped", "n_dropped", "n_dropped_words"))
     drops = written(drops.groupBy(F.col("id").alias(key)).agg(F.collect_set(F.struct("pos", "n")).alias(pos)))
-    joined = df.join(drops, df[id_col].cast("bigint") == drops[key], "left")
+    # Texts without drops are not shuffled, as far as a bitmap of fixed size can tell them.
+    marked = perhaps_in(df, bitmap(drops, key), df[id_col].cast("bigint"), flag)
+    rest = marked.filter(~F.col(flag)).select(*df.columns, F.lit(0).alias(n_dropped), F.lit(0).cast("bigint").alias(n_words))
+    found = marked.filter(flag).drop(flag)
+    joined = found.join(drops, found[id_col].cast("bigint") == drops[key], "left")
     lost = F.aggregate(pos, F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
-    edit = F.coalesce(lost <= count_words(df[text_col]) * F.lit(max_loss), F.lit(False))
-    shorter = F.array_join(F.filter(F.split(df[text_col], "\n"), lambda x, i: ~F.array_contains(F.transform(pos, lambda p: p["pos"]), i)), "\n")
-    cols = [F.when(edit, shorter).otherwise(df[c]).alias(c) if c == text_col else df[c] for c in df.columns]
-    return joined.select(*cols, F.when(edit, F.size(pos)).otherwise(0).alias(dropped), F.when(edit, lost).otherwise(0).alias(dropped_words))
+    edit = F.coalesce(lost <= count_words(found[text_col]) * F.lit(max_loss), F.lit(False))
+    shorter = F.array_join(F.filter(F.split(found[text_col], "\n"), lambda x, i: ~F.array_contains(F.transform(pos, lambda p: p["pos"]), i)), "\n")
+    cols = [F.when(edit, shorter).otherwise(found[c]).alias(c) if c == text_col else found[c] for c in df.columns]
+    return rest.unionByName(joined.select(*cols, F.when(edit, F.size(pos)).otherwise(0).alias(n_dropped), F.when(edit, lost).otherwise(0).alias(n_words)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

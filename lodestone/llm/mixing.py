@@ -68,7 +68,8 @@ def emitted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """
     sized = df.select(df[source_col].cast("string").alias("source"), count_words(df[text_col]).alias("size"))
     name, rate, copy = free(df, "source_of_rate"), free(df, "rate"), free(df, "copy")
-    rates = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), most).select(F.col("source").alias(name), F.col("rate").alias(rate))
+    # Written, so that its size is known before the texts move: a small table of sources then costs them no shuffle.
+    rates = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), most).select(F.col("source").alias(name), F.col("rate").alias(rate)))
     joined = df.join(rates, df[source_col].cast("string").eqNullSafe(F.col(name)))
     copies = F.floor(rate).cast("int") + (drawn(seed, df[id_col]) < F.col(rate) - F.floor(rate)).cast("int")
     return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).select(*df.columns)
