@@ -21,14 +21,15 @@ from __future__ import annotations
 
 import base64
 import json
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,6 @@ from lodestone.llm.bpe import CUT, tokenizer_path
 from lodestone.llm.common import shared_dir, table, written
 
 LENGTH, PER_SHARD, KEY, ROUNDS = 256, 1 << 15, 20240607, 6
-CACHE, LONG = 400_000, 256
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -68,8 +68,8 @@ def permuted(numbers: np.ndarray, n: int, key: int = KEY, back: bool = False) ->
     return out.astype(np.int64)
 
 
-class Ids(dict):
-    """Packed ids of a space and a word, encoded when first asked for."""
+class Ids:
+    """Ids of texts, and their packed form."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -78,28 +78,17 @@ class Ids(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.end = max(ranks.values()) + 1
         self.kind = np.dtype("<u2" if self.end < 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.encode = tiktoken.Encoding("file", pat_str=CUT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.loose = regex.compile(r"\s[ ]|[ ]\s").search
 
-    def pack(self, text: str) -> bytes:
-        return np.array(self.encode(text), dtype=self.kind).tobytes()
+    def count(self, text: str | None) -> int:
+        return len(self.encode(text)) if text else 0
 
-    def __missing__(self, word: str) -> bytes:
-        out = self.pack(" " + word)
-        if len(word) <= LONG:
-            self[word] = out
-        return out
-
-    def text(self, text: str | None) -> bytes:
-        """Packed ids of a text; its words are encoded alone where single spaces part them."""
-        if not text:
-            return b""
-        if self.loose(text):
-            return self.pack(text)
-        if len(self) > CACHE:
-            self.clear()
-        first, *rest = text.split(" ")
-        return (self.pack(first) if first else b"") + b"".join([self[w] for w in rest])
+    def pack(self, text: str | None) -> bytes:
+        out = array(self.code, self.encode(text) if text else ())
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -119,7 +108,7 @@ def write_shards(df: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id"
         ids, n = ids_of(tokenizer), 0
         for batch in batches:
             for t in batch.column(1):
-                n += len(ids.text(t.as_py())) // ids.kind.itemsize // length + 1
+                n += ids.count(t.as_py()) // length + 1
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
 
     counts = {r.part: r.n for r in narrow.mapInArrow(count, "part int, n bigint").collect()}
@@ -137,7 +126,7 @@ def write_shards(df: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id"
                 rows = batch.slice(lo, 500)
                 owner, place, size, data = [], [], [], []
                 for ident, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                    packed = ids.text(text) + mark
+                    packed = ids.pack(text) + mark
                     for k in range(0, len(packed), stride):
                         piece = packed[k : k + stride]
                         owner.append(ident), place.append(k // stride), size.append(len(piece) // ids.kind.itemsize)
