@@ -9,8 +9,10 @@ collisions, and their number estimates a high similarity far better than the sha
 A bucket is compared in blocks of about BLOCK members, pair of blocks by pair of blocks, so a large
 one spreads over tasks. Within a pair of blocks all sketches are compared, none is emitted yet: pairs
 far above the threshold are linked by a spanning forest; pairs near it, in different trees, are all
-emitted; pairs that share an earlier bucket are left to that one. There is no cap on partners.
-Emitted pairs are confirmed on the full shingle sets, and components follow from the confirmed links.
+emitted; pairs that share an earlier bucket are left to that one. Buckets of more than EXACT members
+bring their full sets along, so that pairs near the threshold are confirmed on the spot and only a
+spanning forest of true links leaves. There is no cap on partners. Emitted pairs are confirmed on the
+full shingle sets, and components follow from the confirmed links.
 
 With bands of 5 in 25, a pair at the threshold of 0.85 shares no bucket once in two million. A sketch
 of 512 values errs by about 0.018 (standard deviation) at 0.85, and NEAR and SURE are four of those
@@ -30,11 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table, written
+from lodestone.llm.common import runs, table, written
 from lodestone.llm.components import components
 
 WORDS, PERCENT = 5, 85
-SAMPLES, BANDS, ROWS, BITS, BLOCK = 512, 25, 5, 1024, 400
+SAMPLES, BANDS, ROWS, BITS, BLOCK, EXACT = 512, 25, 5, 1024, 400, 64
 #: Standard error of a sketch's estimate at 0.85; candidates within four of the threshold are confirmed one by one.
 ERROR = 0.018
 _rng = np.random.default_rng(20240607)
@@ -122,7 +124,7 @@ def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return narrow.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, n bigint, keys array<bigint>, sketch binary")
 
 
-def compare(ids: np.ndarray, n: np.ndarray, keys: np.ndarray, sketch: np.ndarray, side: np.ndarray, band: int, within: bool, percent: int) -> list[tuple[int, int]]:
+def compare(ids: np.ndarray, n: np.ndarray, keys: np.ndarray, sketch: np.ndarray, side: np.ndarray, band: int, within: bool, percent: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Pairs of one pair of blocks that have to be confirmed. side: which block a row is of."""
     near, sure = differing(max(0.0, percent / 100 - 4 * ERROR)), differing(min(1.0, percent / 100 + 4 * ERROR))
     parent = list(range(len(ids)))
@@ -154,54 +156,55 @@ def compare(ids: np.ndarray, n: np.ndarray, keys: np.ndarray, sketch: np.ndarray
         x, y = root(int(a[k])), root(int(b[k]))
         if x == y:
             continue
+        if sets is not None:
+            common = len(np.intersect1d(sets[a[k]], sets[b[k]], assume_unique=True))
+            if 100 * common < percent * (len(sets[a[k]]) + len(sets[b[k]]) - common):
+                continue
         out.append((int(ids[a[k]]), int(ids[b[k]])))
-        if z[k] <= sure:
+        if sets is not None or z[k] <= sure:
             parent[max(x, y)] = min(x, y)
     return out
 
 
 def candidates(grouped: DataFrame, percent: int) -> DataFrame:
-    """grouped: (key, i, j, side, band, id, n, keys, sketch) in the order of key, i, j within each partition."""
-
-    def pairs(cols: dict[str, np.ndarray], lo: int, hi: int) -> list[tuple[int, int]]:
-        at = slice(lo, hi)
-        return compare(cols["id"][at], cols["n"][at], cols["keys"][at], cols["sketch"][at], cols["side"][at], int(cols["band"][lo]), cols["i"][lo] == cols["j"][lo], percent)
+    """grouped: (key, i, j, side, band, id, n, keys, sketch, items) in the order of key, i, j within each partition; items: null but in large buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
+        out: list[tuple[int, int]] = []
 
-        def done(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        def done() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
+        for rows in runs(batches, ["key", "i", "j"]):
+            m = rows.num_rows
+            if m < 2:
                 continue
-            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "i", "j", "side", "band", "id", "n")}
-            cols["keys"] = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.int32).reshape(batch.num_rows, BANDS)
-            cols["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(batch.num_rows, BITS // 64)
-            if held is not None:
-                cols = {c: np.concatenate([held[c], v]) for c, v in cols.items()}
-            cut = (np.diff(cols["key"]) != 0) | (np.diff(cols["i"]) != 0) | (np.diff(cols["j"]) != 0)
-            edges = [0, *(np.flatnonzero(cut) + 1)]
-            out = [p for lo, hi in zip(edges, edges[1:]) for p in pairs(cols, lo, hi)]
-            held = {c: v[edges[-1] :].copy() for c, v in cols.items()}
-            yield done(out)
-        if held is not None:
-            yield done(pairs(held, 0, len(held["id"])))
+            ids, n, side = (rows.column(c).to_numpy() for c in ("id", "n", "side"))
+            keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.int32).reshape(m, BANDS)
+            sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(m, BITS // 64)
+            first = {c: rows.column(c)[0].as_py() for c in ("band", "i", "j")}
+            sets = None if rows.column("items").null_count else [np.frombuffer(x, np.int64) for x in rows.column("items").to_pylist()]
+            out += compare(ids, n, keys, sketch, side, first["band"], first["i"] == first["j"], percent, sets)
+            if len(out) >= 10_000:
+                yield done()
+                out.clear()
+        yield done()
 
     return grouped.mapInArrow(run, "a bigint, b bigint")
 
 
-def shingle_sets(df: DataFrame) -> DataFrame:
-    """(id, text) to (id, items)."""
+def shingle_sets(df: DataFrame, as_bytes: bool = False) -> DataFrame:
+    """(id, text) to (id, items), sorted; as an array, or as the bytes of one."""
+    kind = pa.binary() if as_bytes else pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(words_of(t.as_py())).view(np.int64) for t in part.column(1)], pa.list_(pa.int64()))], names=["id", "items"])
+                items = [np.sort(shingles(words_of(t.as_py())).view(np.int64)) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in items] if as_bytes else items, kind)], names=["id", "items"])
 
-    return df.mapInArrow(run, "id bigint, items array<bigint>")
+    return df.mapInArrow(run, f"id bigint, items {'binary' if as_bytes else 'array<bigint>'}")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -212,17 +215,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = written(heads.select("id", "n", "keys", "sketch"))
     banded = heads.select("id", F.posexplode("keys").alias("band", "key"))
     shared = written(banded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
-    members = banded.join(shared, "key").join(heads, "id")
+    texts = df.select(df[id_col].cast("bigint").alias("id"), df[text_col].cast("string").alias("text"))
+    members = banded.join(shared, "key")
+    crowded = written(members.filter(F.col("c") > EXACT).select("id").distinct())
+    crowd = written(shingle_sets(texts.join(crowded, "id", "left_semi"), True).dropDuplicates(["id"]))
+    members = members.join(heads, "id").join(crowd, "id", "left").withColumn("items", F.when(F.col("c") > EXACT, F.col("items")))
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     low = F.transform("keys", lambda k: F.unhex(F.lpad(F.hex(k.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grouped = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "band", "id", "n", F.aggregate(low, F.lit(b""), lambda a, x: F.concat(a, x)).alias("keys"), "sketch")
+    grouped = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "band", "id", "n", F.aggregate(low, F.lit(b""), lambda a, x: F.concat(a, x)).alias("keys"), "sketch", "items")
     order = ["key", "i", "j"]
     pairs = written(candidates(grouped.repartition(*order).sortWithinPartitions(*order), percent))
     asked = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = df.select(df[id_col].cast("bigint").alias("id"), df[text_col].cast("string").alias("text")).join(asked, "id", "left_semi")
-    sets = written(shingle_sets(texts).dropDuplicates(["id", "items"]))
+    sets = written(shingle_sets(texts.join(asked, "id", "left_semi")).dropDuplicates(["id", "items"]))
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     links = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), common.alias("c")).filter(F.col("c") * 100 >= (F.col("nx") + F.col("ny") - F.col("c")) * percent).select("a", "b")
