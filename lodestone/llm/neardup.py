@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import runs, table, written
+from lodestone.llm.common import dropped, runs, table, written
 from lodestone.llm.components import components
 
 WORDS, PERCENT = 5, 85
@@ -233,6 +233,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     common = F.size(F.array_intersect("x", "y"))
     links = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), common.alias("c")).filter(F.col("c") * 100 >= (F.col("nx") + F.col("ny") - F.col("c")) * percent).select("a", "b")
     found = written(components(links))
+    for used in (heads, shared, crowded, crowd, pairs, asked, sets):
+        dropped(used)
     named = every.select("id", "h1", "h2", "n").join(classes, ["h1", "h2"], "left").select("id", "n", F.coalesce("rep", "id").alias("node"))
     out = named.join(found, "node", "left").select("id", "n", F.coalesce("component", "node").alias("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
@@ -240,3 +242,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.b FROM r JOIN l ON l.a = r.y),
+m AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n USING (doc_id)
+"""

@@ -19,6 +19,8 @@ QUERIES = {
 
 SQL = {
     "op1_quality_rules": quality.SQL,
+    "op2_near_duplicates": neardup.SQL,
+    "op5_near_vectors": vectors.SQL,
     "op6_url_filter": urls.SQL,
     "op9_mixing": mixing.SQL,
 }
