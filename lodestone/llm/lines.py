@@ -3,15 +3,15 @@
 A line's path in the tree is its number of tokens and its first DEPTH tokens; tokens with a digit or @
 are fields and stand as <*>, unless most of the line is. Leaves whose lines recur in too few documents are done with: a bitmap of
 fixed size, gathered from counts per leaf, keeps their lines from being shuffled at all. In each other
-leaf the tokens vote at each position: one that holds over half of the leaf's lines is constant, else
-the position is a field. A line that agrees with its leaf's template in SIMILAR of its positions is an
-instance of it; any other line is a template of its own. Templates found in MIN_DOCS documents (LONG_DOCS
+leaf, distinct lines are clustered, the most frequent first: a line that agrees with a template of the leaf
+in SIMILAR of its positions is an instance of it, and the positions where they differ become fields; any
+other line begins a template of its own. Templates found in MIN_DOCS documents (LONG_DOCS
 if they have LONG tokens) are recurring: their lines go everywhere but at the first place, by id and
 line number. A document that would lose more than `max_loss` of its words is left as it is: that is a
 copy, for document-level deduplication to judge.
 
-All counting is pre-aggregated, a leaf's votes are one row per distinct token and position, and no
-leaf, however large, meets in one task.
+All counting is pre-aggregated. The distinct lines of one leaf meet in one task, where an index of bands of
+positions finds the templates to compare with; their copies do not.
 
 Null texts have no lines and stay null. Lines with fewer than MIN_TOKENS tokens are never dropped.
 Rows that share an id are edited alike; rows without id are counted but left as they are. All other
@@ -21,6 +21,7 @@ columns are kept, whatever their names. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+import operator
 import re
 
 import pyarrow as pa
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bitmap, count_words, dropped, free, perhaps_in, table, written
+from lodestone.llm.common import bitmap, count_words, dropped, free, perhaps_in, runs, table, written
 
 DEPTH, SIMILAR, MIN_DOCS, LONG, LONG_DOCS, MIN_TOKENS, MAX_LOSS = 3, 0.75, 10, 50, 3, 4, 0.5
 FIELD_SIGNS = b"0123456789@"
@@ -84,28 +85,66 @@ def enough(docs: Column, n: Column) -> Column:
     return docs >= F.when(n >= LONG, LONG_DOCS).otherwise(MIN_DOCS)
 
 
+def joined_clusters(kinds: list[list[str]]) -> list[int]:
+    """For each of a leaf's distinct lines, most frequent first, the number of the line that began its cluster.
+
+    A line joins the cluster whose template it agrees with most, in SIMILAR of its positions at least, and the
+    positions where they differ become fields. A line with at most m differences equals the template in one of m + 1 bands.
+    """
+    n = len(kinds[0])
+    most = int(n * (1 - SIMILAR))
+    rest = range(min(DEPTH, n), n)
+    bands = [rest[k :: most + 1] for k in range(most + 1)]
+    index: dict[tuple, list[int]] = {}
+    templates: dict[int, list[str | None]] = {}
+    out = []
+    for k, tokens in enumerate(kinds):
+        keys = [(b, *[tokens[i] for i in band]) for b, band in enumerate(bands)]
+        best, least = k, most + 1
+        for c in sorted({c for key in keys for c in index.get(key, ())}):
+            differ = sum(map(operator.ne, tokens, templates[c]))
+            if differ < least:
+                best, least = c, differ
+        if best == k:
+            templates[k] = list(tokens)
+            for key in keys:
+                index.setdefault(key, []).append(k)
+        elif least:
+            templates[best] = [t if t == own else None for t, own in zip(templates[best], tokens)]
+        out.append(best)
+    return out
+
+
+def clustered(kinds: DataFrame) -> DataFrame:
+    """From distinct lines (leaf, n, docs, h1, h2, tokens): (h1, h2, x, y), x and y the hash of the line that began the cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["leaf"]):
+            first = joined_clusters([t.split(" ") for t in group.column("tokens").to_pylist()])
+            h1, h2 = group.column("h1").combine_chunks(), group.column("h2").combine_chunks()
+            yield from pa.table([h1, h2, h1.take(pa.array(first)), h2.take(pa.array(first))], names=["h1", "h2", "x", "y"]).to_batches()
+
+    return kinds.repartition("leaf").sortWithinPartitions("leaf", F.desc("docs"), "h1", "h2").mapInArrow(run, "h1 bigint, h2 bigint, x bigint, y bigint")
+
+
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """From (id, text): (id, pos, n) of the lines to drop."""
     leaves = parsed(docs, False).groupBy("leaf").agg(F.count_if("first").alias("docs"), F.max("n").alias("n")).filter(enough(F.col("docs"), F.col("n")))
     lines = perhaps_in(parsed(docs, True), bitmap(leaves, "leaf"), F.col("leaf"), "recurs").filter("recurs").drop("recurs")
     lines = written(lines)
     distinct = written(lines.groupBy("h1", "h2").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.count_if("first").alias("docs"), F.first("tokens").alias("tokens")))
-    # Votes, only where a leaf has lines that differ.
-    mixed = written(distinct.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs"), F.first("n").alias("n")).filter((F.col("kinds") > 1) & enough(F.col("docs"), F.col("n"))).select("leaf", F.col("docs").alias("all")))
-    voters = distinct.join(mixed, "leaf")
-    votes = voters.select("leaf", "all", "docs", F.posexplode(F.split("tokens", " ")).alias("at", "token")).groupBy("leaf", "at", "token").agg(F.sum("docs").alias("votes"), F.first("all").alias("all"))
-    constant = votes.filter("2 * votes > all")
-    templates = written(constant.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("at", "token"))).alias("constant")))
-    agree = F.aggregate(F.transform(F.split("tokens", " "), lambda t, i: F.when(F.try_element_at("constant", i) == t, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)
-    member = F.coalesce(agree >= F.lit(SIMILAR) * F.col("n"), F.lit(False))
-    named = written(distinct.join(templates, "leaf", "left").select("h1", "h2", F.when(member, F.struct(F.lit(0).cast("bigint").alias("x"), F.col("leaf").alias("y"))).otherwise(F.struct(F.col("h1").alias("x"), F.col("h2").alias("y"))).alias("t")))
-    placed = written(lines.select("id", "pos", "n", "h1", "h2").join(named, ["h1", "h2"]).select("id", "pos", "n", F.col("t.x").alias("x"), F.col("t.y").alias("y")))
+    # Clusters, only where a leaf has lines that differ.
+    mixed = written(distinct.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs"), F.first("n").alias("n")).filter((F.col("kinds") > 1) & enough(F.col("docs"), F.col("n"))).select("leaf"))
+    clusters = written(clustered(distinct.join(mixed, "leaf").select("leaf", "n", "docs", "h1", "h2", "tokens")))
+    own = distinct.join(clusters, ["h1", "h2"], "left")
+    named = written(own.select("h1", "h2", F.coalesce("x", "h1").alias("x"), F.coalesce("y", "h2").alias("y")))
+    placed = written(lines.select("id", "pos", "n", "h1", "h2").join(named, ["h1", "h2"]).select("id", "pos", "n", "x", "y"))
     # One row per document first, so that the second count only adds.
     per_doc = placed.groupBy("x", "y", "id").agg(F.min("pos").alias("pos"), F.first("n").alias("n"))
     recurring = written(per_doc.groupBy("x", "y").agg(F.count("*").alias("docs"), F.min(F.struct("id", "pos")).alias("kept"), F.first("n").alias("n")).filter(enough(F.col("docs"), F.col("n"))).select("x", "y", "kept"))
     drops = placed.join(recurring, ["x", "y"]).filter(~F.struct("id", "pos").eqNullSafe(F.col("kept"))).select("id", "pos", "n")
     drops = written(drops)
-    for used in (lines, distinct, mixed, templates, named, placed, recurring):
+    for used in (lines, distinct, mixed, clusters, named, placed, recurring):
         dropped(used)
     return drops
 

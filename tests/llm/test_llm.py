@@ -215,6 +215,15 @@ def test_line_dedup(docs, empty, spark):
     assert lines.line_dedup(copies).filter("n_dropped > 0").count() == 0
 
 
+def test_line_dedup_keeps_several_templates_in_a_leaf(spark):
+    names = "ann bob cid dan eve fay gus hal ivy jon kim lea".split()
+    tails = [" ".join(RNG.sample("red blue green tall small quick slow early late north south east".split(), 6)) for _ in range(13)]
+    made = [f"Today the user {w} has logged in from home." for w in names] + [f"Today the user {t}" for t in tails] + [f"Today the user was seen by {w} at noon" for w in names]
+    docs = spark.createDataFrame([(k, f"{prose(25)}\n{x}") for k, x in enumerate(made)], "doc_id bigint, text string")
+    got = {r.doc_id: r.n_dropped for r in lines.line_dedup(docs).collect()}
+    assert [got[k] for k in range(len(made))] == [0] + [1] * 11 + [0] * 13 + [0] + [1] * 11
+
+
 def vector_rows():
     rng = np.random.default_rng(4)
     out, centers = [], rng.standard_normal((30, 16))
