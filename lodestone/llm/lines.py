@@ -7,8 +7,9 @@ leaf, distinct lines are clustered, the most frequent first: a line that agrees
 in SIMILAR of its positions is an instance of it, and the positions where they differ become fields; any
 other line begins a template of its own. Templates found in MIN_DOCS documents (LONG_DOCS
 if they have LONG tokens) are recurring: their lines go everywhere but at the first place, by id and
-line number. A document that would lose more than `max_loss` of its words is left as it is: that is a
-copy, for document-level deduplication to judge.
+line number. Documents with equal texts count once and are edited alike. A document that would lose more than
+`max_loss` of its words to one other document, where their first places are, is compared with it: if the two
+are near copies by the rule of op2 those lines stay, for document-level deduplication to judge, else they go.
 
 All counting is pre-aggregated. The distinct lines of one leaf meet in one task, where an index of bands of
 positions finds the templates to compare with; their copies do not.
@@ -29,7 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bitmap, count_words, dropped, free, perhaps_in, runs, table, written
+from lodestone.llm.common import bitmap, dropped, free, perhaps_in, runs, table, written
+from lodestone.llm.neardup import shingles, words_of
 
 DEPTH, SIMILAR, MIN_DOCS, LONG, LONG_DOCS, MIN_TOKENS, MAX_LOSS = 3, 0.75, 10, 50, 3, 4, 0.5
 FIELD_SIGNS = b"0123456789@"
@@ -51,14 +53,16 @@ def signed64(x: int) -> int:
 
 
 def parsed(docs: DataFrame, texts: bool) -> DataFrame:
-    """(id, pos, n, leaf, h1, h2, first) of each line with MIN_TOKENS or more; first: not seen before in its text. With its tokens, if asked for."""
-    names = ["id", "pos", "n", "leaf", "h1", "h2", "first", *(["tokens"] if texts else [])]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
-    types = ["bigint", "int", "int", "bigint", "bigint", "bigint", "boolean", "string"]
+    """(id, pos, n, leaf, h1, h2, first) of each line with MIN_TOKENS or more; first: not seen before in its text. With the hash and words of its text and its tokens, if asked for."""
+    names = ["id", "pos", "n", "leaf", "h1", "h2", "first", *(["doc", "words", "tokens"] if texts else [])]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]
+    types = ["bigint", "int", "int", "bigint", "bigint", "bigint", "boolean", "bigint", "bigint", "string"]
 
     def rows(ident: int | None, text: str) -> Iterator[tuple]:
         seen = set()
-        for pos, line in enumerate(text.encode().split(b"\n")):
+        data = text.encode()
+        doc, words = (signed64(xxhash.xxh3_64_intdigest(data)), len(data.split())) if texts else (0, 0)
+        for pos, line in enumerate(data.split(b"\n")):
             tokens = masked(line)
             n = len(tokens)
             if n < MIN_TOKENS:
@@ -68,7 +72,7 @@ def parsed(docs: DataFrame, texts: bool) -> DataFrame:
             leaf = signed64(xxhash.xxh3_64_intdigest(b"%d " % n + b" ".join(tokens[:DEPTH])))
             out = (ident, pos, n, leaf, signed64(h >> 64), signed64(h & (1 << 64) - 1), h not in seen)
             seen.add(h)
-            yield (*out, whole.decode()) if texts else out
+            yield (*out, doc, words, whole.decode()) if texts else out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +132,7 @@ def clustered(kinds: DataFrame) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
-    """From (id, text): (id, pos, n) of the lines to drop."""
+    """From (id, text): (id, pos, n, words, by) of the lines to drop; words of the text, by the document of the first place."""
     leaves = parsed(docs, False).groupBy("leaf").agg(F.count_if("first").alias("docs"), F.max("n").alias("n")).filter(enough(F.col("docs"), F.col("n")))
     lines = perhaps_in(parsed(docs, True), bitmap(leaves, "leaf"), F.col("leaf"), "recurs").filter("recurs").drop("recurs")
     lines = written(lines)
@@ -138,32 +142,58 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     clusters = written(clustered(distinct.join(mixed, "leaf").select("leaf", "n", "docs", "h1", "h2", "tokens")))
     own = distinct.join(clusters, ["h1", "h2"], "left")
     named = written(own.select("h1", "h2", F.coalesce("x", "h1").alias("x"), F.coalesce("y", "h2").alias("y")))
-    placed = written(lines.select("id", "pos", "n", "h1", "h2").join(named, ["h1", "h2"]).select("id", "pos", "n", "x", "y"))
-    # One row per document first, so that the second count only adds.
-    per_doc = placed.groupBy("x", "y", "id").agg(F.min("pos").alias("pos"), F.first("n").alias("n"))
-    recurring = written(per_doc.groupBy("x", "y").agg(F.count("*").alias("docs"), F.min(F.struct("id", "pos")).alias("kept"), F.first("n").alias("n")).filter(enough(F.col("docs"), F.col("n"))).select("x", "y", "kept"))
-    drops = placed.join(recurring, ["x", "y"]).filter(~F.struct("id", "pos").eqNullSafe(F.col("kept"))).select("id", "pos", "n")
+    placed = written(lines.select("id", "pos", "n", "doc", "words", "h1", "h2").join(named, ["h1", "h2"]).select("id", "pos", "n", "doc", "words", "x", "y"))
+    # One row per text first, so that the second count only adds.
+    per_doc = placed.groupBy("x", "y", "doc").agg(F.min(F.struct("id", "pos", "doc")).alias("kept"), F.first("n").alias("n"))
+    recurring = written(per_doc.groupBy("x", "y").agg(F.count("*").alias("docs"), F.min("kept").alias("kept"), F.first("n").alias("n")).filter(enough(F.col("docs"), F.col("n"))).select("x", "y", "kept"))
+    at_first = (F.col("pos") == F.col("kept.pos")) & (F.col("id").eqNullSafe(F.col("kept.id")) | (F.col("doc") == F.col("kept.doc")))
+    drops = placed.join(recurring, ["x", "y"]).filter(F.col("id").isNotNull() & ~at_first).select("id", "pos", "n", "words", F.col("kept.id").alias("by"))
     drops = written(drops)
     for used in (lines, distinct, mixed, clusters, named, placed, recurring):
         dropped(used)
     return drops
 
 
+def near_copies(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """From documents (id, text) and pairs (id, by): the pairs that op2 would link."""
+    ends = pairs.select("id").unionByName(pairs.select(F.col("by").alias("id"))).distinct()
+    texts = written(perhaps_in(docs, bitmap(ends, "id"), F.col("id"), "asked").filter("asked").drop("asked"))
+    left = written(pairs.join(texts, "id").withColumnRenamed("text", "one"))
+    both = left.join(texts.select(F.col("id").alias("by"), F.col("text").alias("two")), "by").select("id", "by", "one", "two")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = (set(shingles(words_of(t.as_py())).tolist()) for t in (one, two))
+                keep.append(bool(a) and 100 * len(a & b) >= 85 * len(a | b))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    found = written(both.mapInArrow(run, "id bigint, by bigint").distinct())
+    for used in (texts, left):
+        dropped(used)
+    return found
+
+
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
     """All rows and columns of df, the text without its recurring lines, and n_dropped, n_dropped_words of each (with _ added if df has such columns)."""
-    drops = recurring_lines(df.select(df[id_col].cast("bigint").alias("id"), df[text_col].cast("string").alias("text")))
+    docs = df.select(df[id_col].cast("bigint").alias("id"), df[text_col].cast("string").alias("text"))
+    drops = recurring_lines(docs)
     key, pos, flag, n_dropped, n_words = (free(df, c) for c in ("id_of_drops", "pos_of_drops", "perhaps_dropped", "n_dropped", "n_dropped_words"))
-    drops = written(drops.groupBy(F.col("id").alias(key)).agg(F.collect_set(F.struct("pos", "n")).alias(pos)))
+    total = lambda found: F.aggregate(found, F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    by = written(drops.groupBy("id", "by").agg(F.collect_set(F.struct("pos", "n")).alias("found"), F.max("words").alias("words")))
+    copies = near_copies(docs, written(by.filter(total(F.col("found")) > F.lit(max_loss) * F.col("words")).select("id", "by")))
+    drops = by.join(copies, ["id", "by"], "left_anti").groupBy(F.col("id").alias(key)).agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias(pos))
+    drops = written(drops)
     # Texts without drops are not shuffled, as far as a bitmap of fixed size can tell them.
     marked = perhaps_in(df, bitmap(drops, key), df[id_col].cast("bigint"), flag)
     rest = marked.filter(~F.col(flag)).select(*df.columns, F.lit(0).alias(n_dropped), F.lit(0).cast("bigint").alias(n_words))
     found = marked.filter(flag).drop(flag)
     joined = found.join(drops, found[id_col].cast("bigint") == drops[key], "left")
-    lost = F.aggregate(pos, F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
-    edit = F.coalesce(lost <= count_words(found[text_col]) * F.lit(max_loss), F.lit(False))
+    edit = F.col(pos).isNotNull() & found[text_col].isNotNull()
     shorter = F.array_join(F.filter(F.split(found[text_col], "\n"), lambda x, i: ~F.array_contains(F.transform(pos, lambda p: p["pos"]), i)), "\n")
     cols = [F.when(edit, shorter).otherwise(found[c]).alias(c) if c == text_col else found[c] for c in df.columns]
-    return rest.unionByName(joined.select(*cols, F.when(edit, F.size(pos)).otherwise(0).alias(n_dropped), F.when(edit, lost).otherwise(0).alias(n_words)))
+    return rest.unionByName(joined.select(*cols, F.when(edit, F.size(pos)).otherwise(0).alias(n_dropped), F.when(edit, total(F.col(pos))).otherwise(0).alias(n_words)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,6 +224,21 @@ def test_line_dedup_keeps_several_templates_in_a_leaf(spark):
     assert [got[k] for k in range(len(made))] == [0] + [1] * 11 + [0] * 13 + [0] + [1] * 11
 
 
+def test_line_dedup_edits_documents_that_lose_most(spark):
+    footer = "This page was made by the people of the old town hall."
+    body = " ".join("word" + "y" * k for k in range(80))
+    made = [(k, f"{footer}\nOnly {'z' * k} here.") for k in range(1, 13)] + [(20, body), (21, body + "\nend"), *((30 + k, t) for k, t in enumerate([footer + "\n" + body.upper()] * 3))]
+    got = {r.doc_id: r for r in lines.line_dedup(spark.createDataFrame(made, "doc_id bigint, text string")).collect()}
+    assert [got[k].n_dropped for k in range(1, 13)] == [0] + [1] * 11  # 12 of 15 words go
+    assert got[2].text == "Only zz here." and got[2].n_dropped_words == 12
+    # Copies lose the footer too, but nothing to each other, so that they stay copies.
+    assert len({got[k].text for k in (30, 31, 32)}) == 1 and got[30].n_dropped == 1
+    # Near copies keep what they share.
+    long = " ".join(f"w{'q' * (k % 26)}{'r' * (k // 26)}" for k in range(100))
+    near = spark.createDataFrame([(k, long + "\nend " + "s" * k) for k in range(4)], "doc_id bigint, text string")
+    assert lines.line_dedup(near).filter("n_dropped > 0").count() == 0
+
+
 def vector_rows():
     rng = np.random.default_rng(4)
     out, centers = [], rng.standard_normal((30, 16))
