@@ -6,7 +6,7 @@ fixed size, gathered from counts per leaf, keeps their lines from being shuffled
 leaf, distinct lines are clustered, the most frequent first: a line that agrees with a template of the leaf
 in SIMILAR of its positions is an instance of it, and the positions where they differ become fields; any
 other line begins a template of its own. Templates found in MIN_DOCS documents (LONG_DOCS
-if they have LONG tokens) are recurring: their lines go everywhere but at the first place, by id and
+if they have LONG tokens, SHORT_DOCS if fewer than SHORT) are recurring: their lines go everywhere but at the first place, by id and
 line number. Documents with equal texts count once and are edited alike. A document that would lose more than
 `max_loss` of its words to one other document, where their first places are, is compared with it: if the two
 are near copies by the rule of op2 those lines stay, for document-level deduplication to judge, else they go.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import bitmap, dropped, free, perhaps_in, runs, table, written
 from lodestone.llm.neardup import shingles, words_of
 
-DEPTH, SIMILAR, MIN_DOCS, LONG, LONG_DOCS, MIN_TOKENS, MAX_LOSS = 3, 0.75, 10, 50, 3, 4, 0.5
+DEPTH, SIMILAR, SHORT, SHORT_DOCS, MIN_DOCS, LONG, LONG_DOCS, MIN_TOKENS, MAX_LOSS = 3, 0.75, 10, 5, 3, 50, 2, 3, 0.5
 FIELD_SIGNS = b"0123456789@"
 FIELD = re.compile(rb"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 
@@ -86,7 +86,7 @@ def parsed(docs: DataFrame, texts: bool) -> DataFrame:
 
 
 def enough(docs: Column, n: Column) -> Column:
-    return docs >= F.when(n >= LONG, LONG_DOCS).otherwise(MIN_DOCS)
+    return docs >= F.when(n >= LONG, LONG_DOCS).when(n >= SHORT, MIN_DOCS).otherwise(SHORT_DOCS)
 
 
 def joined_clusters(kinds: list[list[str]]) -> list[int]:

@@ -239,6 +239,13 @@ def test_line_dedup_edits_documents_that_lose_most(spark):
     assert lines.line_dedup(near).filter("n_dropped > 0").count() == 0
 
 
+def test_line_dedup_drops_repeats_from_few_documents(spark):
+    passage = " ".join("part" + "x" * k for k in range(51))
+    made = [(k, f"{passage}\n{' '.join(f"own{'z' * j}{k}" for j in range(20))}") for k in (1, 2)] + [(k, f"{prose(9 + k)}\nAll rights reserved.") for k in range(3, 9)]
+    got = {r.doc_id: r.n_dropped for r in lines.line_dedup(spark.createDataFrame(made, "doc_id bigint, text string")).collect()}
+    assert [got[k] for k in range(1, 9)] == [0, 1, 0, 1, 1, 1, 1, 1]
+
+
 def vector_rows():
     rng = np.random.default_rng(4)
     out, centers = [], rng.standard_normal((30, 16))
