@@ -72,11 +72,11 @@ def line_fails(line: str, words: list[str]) -> bool:
     bars = line.count("|")
     if bars >= 3 and 5 * bars >= n:
         return True
-    if line[0] != " " and 2 * sum([w[-1] in NOISE and w[-2:-1] in NOISE and len(w) > 1 for w in words]) > n:
+    if 2 * sum([w[-1] in NOISE and w[-2:-1] in NOISE and len(w) > 1 for w in words]) > n:
         return True
     if n >= 6 and 2 * sum(map(str.__eq__, words, words[1:])) > n:
         return True
-    low = line.lower() if n <= 60 else ""
+    low = line.lower()
     return any(p in low for p in BOILERPLATE)
 
 

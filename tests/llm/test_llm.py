@@ -89,6 +89,12 @@ def test_quality(docs, empty):
     assert quality.clean("Home | News | Mail | Shop\nThis is prose, and it stays.") == "This is prose, and it stays."
 
 
+def test_quality_rules_hold_for_indented_and_long_lines():
+    fails = lambda line: quality.line_fails(line, quality.WORD.findall(line))
+    assert fails(" BUY!!! NOW!!! $$$") and fails("We use cookies " + "to serve you well " * 30)
+    assert not fails(" It is indented prose, and it stays.") and not fails("It is long and it stays. " * 30)
+
+
 def test_quality_follows_labels(spark):
     d, lab = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     for r in quality.quality_rules(d).join(lab, "doc_id").collect():
