@@ -17,8 +17,9 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep, with whole texts."""
-    return quality.filter_documents(docs)
+    """The documents that the rules keep, without their failing lines."""
+    kept = quality.filter_documents(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

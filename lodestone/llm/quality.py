@@ -120,12 +120,14 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def filter_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
-    """The rows that the rules keep, with all their columns and whole texts; no shuffle."""
+    """The rows that the rules keep, with all their columns, their texts without failing lines; no shuffle."""
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([judge(t.as_py(), max_lost)[-1] for t in batch.column(at)], type=pa.bool_()))
+            kept = batch.filter(pa.array([judge(t.as_py(), max_lost)[-1] for t in batch.column(at)], type=pa.bool_()))
+            texts = pa.array([clean(t.as_py()) for t in kept.column(at)], type=kept.schema.field(at).type)
+            yield kept.set_column(at, kept.schema.field(at), texts)
 
     return df.mapInArrow(run, df.schema)
 

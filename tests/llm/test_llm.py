@@ -95,6 +95,14 @@ def test_quality_rules_hold_for_indented_and_long_lines():
     assert not fails(" It is indented prose, and it stays.") and not fails("It is long and it stays. " * 30)
 
 
+def test_kept_documents_lose_failing_lines(spark):
+    made = [(1, "A | B | C | D | E\n" + "It is prose that stays. " * 2 + " ".join(f"w{k}" for k in range(20)), None, None, 999)]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.quality_rules(spark, docs, SF).collect()
+    want = made[0][1].split("\n")[1]
+    assert [(r.text, r.n_chars) for r in got] == [(want, len(want))]
+
+
 def test_quality_follows_labels(spark):
     d, lab = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     for r in quality.quality_rules(d).join(lab, "doc_id").collect():
