@@ -65,7 +65,7 @@ LICENSES = (
     ("gpl-2.0", "general", "(?:gnu )?general public license (?:version |v ?)2(?: 0)?", "gpl 2 0"),
     ("gpl-3.0", "general", "(?:gnu )?general public license (?:version |v ?)3(?: 0)?", "gpl 3 0"),
     ("isc", "isc", "isc license", "isc"),
-    ("lgpl-2.1", "lesser", "(?:gnu )?(?:lesser|library) general public license(?: (?:version|v) ?2(?: 1)?)", "lgpl 2 1"),
+    ("lgpl-2.1", "general", "(?:gnu )?(?:lesser|library) general public license(?: (?:version|v) ?2(?: 1)?)", "lgpl 2 1"),
     ("lgpl-3.0", "lesser", "(?:gnu )?lesser general public license(?: (?:version|v) ?3(?: 0)?)", "lgpl 3 0"),
     ("lppl-1.3c", "latex", "latex project public license(?: 1 3c?)?", "lppl 1 3c"),
     ("mit", "mit", "mit license", "mit"),
@@ -118,7 +118,7 @@ FORMS = (
     ("name", 4, 0.6, "(?:{name})"),
 )
 #: One of these is in every text on which a rule or a base phrase can match.
-GATE = ("licen", "reserved", "copyright", "hereby", "domain", "permission", "redistribut", "neither", "advertising", "authors", "waived", "unencumbered", "confidential", "unauthorized", "wtfpl", "cc0", "cecill", "fuck", "creative", "clause")
+GATE = ("licen", "reserved", "copyright", "hereby", "domain", "permission", "redistribut", "neither", "advertising", "authors", "waived", "unencumbered", "confidential", "unauthorized", "wtfpl", "cc0", "cecill", "fuck", "creative", "clause", "attribution")
 #: The gate for names that begin with the word cc.
 GATE_CC = rf"(?i)cc[{CUT_ANY}]+by"
 

@@ -208,6 +208,12 @@ def test_license_gate_admits_every_rule(spark):
         assert r.labels == plain_licenses(samples[r.doc_id])[5] != ""
 
 
+def test_license_keywords_hold_for_every_branch(spark):
+    df = spark.createDataFrame([(0, "MIT No Attribution"), (1, "the library general public license version 2")], "doc_id bigint, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
+    assert "mit-0" in got[0] and "lgpl-2.1" in got[1]
+
+
 def test_line_dedup(docs, empty, spark):
     out = lines.line_dedup(docs)
     assert out.columns == [*docs.columns, "n_dropped", "n_dropped_words"] and out.count() == len(rows())
