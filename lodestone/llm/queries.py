@@ -22,5 +22,6 @@ SQL = {
     "op2_near_duplicates": neardup.SQL,
     "op5_near_vectors": vectors.SQL,
     "op6_url_filter": urls.SQL,
+    "op7_sharding": sharding.SQL,
     "op9_mixing": mixing.SQL,
 }

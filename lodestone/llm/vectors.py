@@ -26,9 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import runs, table, written
+from lodestone.llm.common import running, runs, table, written
 from lodestone.llm.components import components
-from lodestone.llm.sharding import running
 
 COSINE, PASSES, BITS, BLOCK, WINDOW, PART, SEED = 0.98, 20, 32, 448, 64, 128, 11
 

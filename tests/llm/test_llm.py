@@ -316,15 +316,26 @@ def test_url_model_on_held_out_urls(spark):
     assert sum(a > b for a in good for b in bad) / (len(good) * len(bad)) > 0.8
 
 
-def test_shards(docs, empty):
-    got = sharding.shard_by_bytes(docs, 4).collect()
-    assert len(got) == len(rows()) and sharding.shard_by_bytes(empty).count() == 0
-    size = Counter()
-    for r in got:
-        size[r.shard] += r.size
-    assert sorted((r.size, r.text_crc32) for r in got) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t, *_ in rows())
-    for s in size:
-        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+def plain_shards(items, shards):
+    """(id, size, crc, shard, slot) in the order of range, part, digest and id, summed one by one."""
+    data = [(hashlib.md5((t or "").encode()).hexdigest(), hashlib.md5(str("" if i is None else i).encode()).hexdigest()[:2], i, (t or "").encode()) for i, t in items]
+    data.sort(key=lambda r: (r[0][:2], r[1], r[0], r[2] is not None, r[2] or 0))
+    total, at, next_slot, out = sum(len(r[3]) + 1 for r in data), 0, Counter(), []
+    for *_, i, t in data:
+        shard = min(shards - 1, at * shards // total)
+        out.append((i, len(t) + 1, zlib.crc32(t), shard, next_slot[shard]))
+        next_slot[shard] += 1
+        at += len(t) + 1
+    return out
+
+
+def test_shards(docs, empty, spark):
+    same = [(k % 7, "copy") for k in range(400)] + [(k, "copy") for k in range(100, 500)] + [(None, None)] * 3
+    for df, items in ((docs, [(i, t) for i, t, *_ in rows()]), (spark.createDataFrame(same, "doc_id bigint, text string").withColumn("range", F.lit(1)).withColumn("n", F.lit("x")), same)):
+        got = [tuple(r) for r in sharding.shard_by_bytes(df, 4).collect()]
+        key = lambda r: (r[0] is not None, *(x or 0 for x in r))
+        assert sorted(got, key=key) == sorted(plain_shards(items, 4), key=key)
+    assert sharding.shard_by_bytes(empty).count() == 0
     even = sharding.shard_by_bytes(docs.sparkSession.read.parquet(f"{SF}/documents.parquet"), 16).groupBy("shard").agg(F.sum("size").alias("b")).collect()
     total, most = sum(r.b for r in even), 24_000
     assert len(even) == 16 and all(abs(r.b - total / 16) <= most for r in even)
