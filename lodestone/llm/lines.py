@@ -9,7 +9,8 @@ other line begins a template of its own. Templates found in MIN_DOCS documents (
 if they have LONG tokens, SHORT_DOCS if fewer than SHORT) are recurring: their lines go everywhere but at the first place, by id and
 line number. Documents with equal texts count once and are edited alike. A document that would lose more than
 `max_loss` of its words to one other document, where their first places are, is compared with it: if the two
-are near copies by the rule of op2 those lines stay, for document-level deduplication to judge, else they go.
+are near copies by the rule of op2 those lines stay, for document-level deduplication to judge, else they go; with
+`max_loss` None nothing is compared and every recurring line goes.
 
 All counting is pre-aggregated. The distinct lines of one leaf meet in one task, where an index of bands of
 positions finds the templates to compare with; their copies do not.
@@ -139,17 +140,23 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     distinct = written(lines.groupBy("h1", "h2").agg(F.first("leaf").alias("leaf"), F.first("n").alias("n"), F.count_if("first").alias("docs"), F.first("tokens").alias("tokens")))
     # Clusters, only where a leaf has lines that differ.
     mixed = written(distinct.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("docs"), F.first("n").alias("n")).filter((F.col("kinds") > 1) & enough(F.col("docs"), F.col("n"))).select("leaf"))
-    clusters = written(clustered(distinct.join(mixed, "leaf").select("leaf", "n", "docs", "h1", "h2", "tokens")))
-    own = distinct.join(clusters, ["h1", "h2"], "left")
-    named = written(own.select("h1", "h2", F.coalesce("x", "h1").alias("x"), F.coalesce("y", "h2").alias("y")))
-    placed = written(lines.select("id", "pos", "n", "doc", "words", "h1", "h2").join(named, ["h1", "h2"]).select("id", "pos", "n", "doc", "words", "x", "y"))
+    clusters = written(clustered(distinct.join(mixed.hint("merge"), "leaf").select("leaf", "n", "docs", "h1", "h2", "tokens")))
+    # Only lines that joined the cluster of another line get a new name; a bitmap tells most others without moving them.
+    # Joins have one plan at every size: a small side is never broadcast just because the input is small.
+    renamed = written(clusters.filter("x <> h1 or y <> h2"))
+    here = lines.select("id", "pos", "n", "doc", "words", "h1", "h2")
+    asked = perhaps_in(here, bitmap(renamed, "h1"), F.col("h1"), "perhaps_renamed")
+    named = asked.filter("perhaps_renamed").join(renamed.hint("merge"), ["h1", "h2"], "left")
+    columns = ("id", "pos", "n", "doc", "words")
+    placed = written(named.select(*columns, F.coalesce("x", "h1").alias("x"), F.coalesce("y", "h2").alias("y")).unionByName(asked.filter("not perhaps_renamed").select(*columns, F.col("h1").alias("x"), F.col("h2").alias("y"))))
     # One row per text first, so that the second count only adds.
     per_doc = placed.groupBy("x", "y", "doc").agg(F.min(F.struct("id", "pos", "doc")).alias("kept"), F.first("n").alias("n"))
     recurring = written(per_doc.groupBy("x", "y").agg(F.count("*").alias("docs"), F.min("kept").alias("kept"), F.first("n").alias("n")).filter(enough(F.col("docs"), F.col("n"))).select("x", "y", "kept"))
     at_first = (F.col("pos") == F.col("kept.pos")) & (F.col("id").eqNullSafe(F.col("kept.id")) | (F.col("doc") == F.col("kept.doc")))
-    drops = placed.join(recurring, ["x", "y"]).filter(F.col("id").isNotNull() & ~at_first).select("id", "pos", "n", "words", F.col("kept.id").alias("by"))
+    seen = perhaps_in(placed.filter("id is not null"), bitmap(recurring, "x"), F.col("x"), "perhaps_recurring").filter("perhaps_recurring")
+    drops = seen.join(recurring.hint("merge"), ["x", "y"]).filter(~at_first).select("id", "pos", "n", "words", F.col("kept.id").alias("by"))
     drops = written(drops)
-    for used in (lines, distinct, mixed, clusters, named, placed, recurring):
+    for used in (lines, distinct, mixed, clusters, renamed, placed, recurring):
         dropped(used)
     return drops
 
@@ -158,8 +165,8 @@ def near_copies(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """From documents (id, text) and pairs (id, by): the pairs that op2 would link."""
     ends = pairs.select("id").unionByName(pairs.select(F.col("by").alias("id"))).distinct()
     texts = written(perhaps_in(docs, bitmap(ends, "id"), F.col("id"), "asked").filter("asked").drop("asked"))
-    left = written(pairs.join(texts, "id").withColumnRenamed("text", "one"))
-    both = left.join(texts.select(F.col("id").alias("by"), F.col("text").alias("two")), "by").select("id", "by", "one", "two")
+    left = written(pairs.join(texts.hint("merge"), "id").withColumnRenamed("text", "one"))
+    both = left.join(texts.select(F.col("id").alias("by"), F.col("text").alias("two")).hint("merge"), "by").select("id", "by", "one", "two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,25 +182,32 @@ def near_copies(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return found
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
+def without_lines(text: Column, places: Column) -> Column:
+    """The text without the lines at these places (ascending, from 0): a mark per line, then one pass over both."""
+    before = F.concat(F.array(F.lit(-1)), F.slice(places, F.lit(1), F.size(places) - 1))
+    marks = F.split(F.array_join(F.zip_with(places, before, lambda p, q: F.concat(F.repeat(F.lit("0"), p - q - 1), F.lit("1"))), ""), "")
+    return F.array_join(F.zip_with(F.split(text, "\n"), marks, lambda line, m: F.when(~F.coalesce(m == "1", F.lit(False)), line)), "\n")
+
+
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_loss: float | None = MAX_LOSS) -> DataFrame:
     """All rows and columns of df, the text without its recurring lines, and n_dropped, n_dropped_words of each (with _ added if df has such columns)."""
     docs = df.select(df[id_col].cast("bigint").alias("id"), df[text_col].cast("string").alias("text"))
     drops = recurring_lines(docs)
     key, pos, flag, n_dropped, n_words = (free(df, c) for c in ("id_of_drops", "pos_of_drops", "perhaps_dropped", "n_dropped", "n_dropped_words"))
-    total = lambda found: F.aggregate(found, F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
-    by = written(drops.groupBy("id", "by").agg(F.collect_set(F.struct("pos", "n")).alias("found"), F.max("words").alias("words")))
-    copies = near_copies(docs, written(by.filter(total(F.col("found")) > F.lit(max_loss) * F.col("words")).select("id", "by")))
-    drops = by.join(copies, ["id", "by"], "left_anti").groupBy(F.col("id").alias(key)).agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias(pos))
-    drops = written(drops)
+    lost = lambda found: F.aggregate(found, F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    by = written(drops.groupBy("id", "by").agg(lost(F.collect_set(F.struct("pos", "n"))).alias("lost"), F.max("words").alias("words")))
+    copies = near_copies(docs, written(by.filter(F.col("lost") > F.lit(max_loss) * F.col("words")).select("id", "by"))) if max_loss is not None else None
+    gone = drops.select("id", "by", "pos", "n") if copies is None else drops.select("id", "by", "pos", "n").join(copies.hint("merge"), ["id", "by"], "left_anti")
+    per_id = written(gone.groupBy(F.col("id").alias(key)).agg(F.array_sort(F.collect_set(F.struct("pos", "n"))).alias(pos)))
     # Texts without drops are not shuffled, as far as a bitmap of fixed size can tell them.
-    marked = perhaps_in(df, bitmap(drops, key), df[id_col].cast("bigint"), flag)
+    marked = perhaps_in(df, bitmap(per_id, key), df[id_col].cast("bigint"), flag)
     rest = marked.filter(~F.col(flag)).select(*df.columns, F.lit(0).alias(n_dropped), F.lit(0).cast("bigint").alias(n_words))
     found = marked.filter(flag).drop(flag)
-    joined = found.join(drops, found[id_col].cast("bigint") == drops[key], "left")
+    joined = found.join(per_id.hint("merge"), found[id_col].cast("bigint") == per_id[key], "left")
     edit = F.col(pos).isNotNull() & found[text_col].isNotNull()
-    shorter = F.array_join(F.filter(F.split(found[text_col], "\n"), lambda x, i: ~F.array_contains(F.transform(pos, lambda p: p["pos"]), i)), "\n")
-    cols = [F.when(edit, shorter).otherwise(found[c]).alias(c) if c == text_col else found[c] for c in df.columns]
-    return rest.unionByName(joined.select(*cols, F.when(edit, F.size(pos)).otherwise(0).alias(n_dropped), F.when(edit, total(F.col(pos))).otherwise(0).alias(n_words)))
+    cols = [F.when(edit, without_lines(found[text_col], F.transform(pos, lambda p: p["pos"]))).otherwise(found[c]).alias(c) if c == text_col else found[c] for c in df.columns]
+    dropped(drops), dropped(by)
+    return rest.unionByName(joined.select(*cols, F.when(edit, F.size(pos)).otherwise(0).alias(n_dropped), F.when(edit, lost(F.col(pos))).otherwise(0).alias(n_words)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from conftest import SF
 from pyspark.sql import functions as F
 
@@ -266,6 +267,67 @@ def test_line_dedup_drops_repeats_from_few_documents(spark):
     assert [got[k] for k in range(1, 9)] == [0, 1, 0, 1, 1, 1, 1, 1]
 
 
+def plain_line_dedup(items):
+    """doc_id to its text without recurring lines: every line against every template of its leaf, one after the other."""
+    hashed = lambda t: (lambda h: ((h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)))(xxhash.xxh3_128_intdigest(" ".join(t).encode()))
+    tokens = {}
+    for i, text in items:
+        for pos, line in enumerate(text.split("\n")):
+            t = [x.decode() for x in lines.masked(line.encode())]
+            if len(t) >= 3:
+                tokens[i, pos] = tuple(t)
+    texts_of = defaultdict(set)
+    for (i, _), t in tokens.items():
+        texts_of[t].add(dict(items)[i])
+    docs_of = Counter(t for i, text in items for t in {tokens[i, pos] for pos in range(len(text.split("\n"))) if (i, pos) in tokens})
+    need = lambda n: 2 if n >= 50 else 3 if n >= 10 else 5
+    name, leaves = {}, defaultdict(list)
+    for t in texts_of:
+        leaves[len(t), t[:3]].append(t)
+    for (n, _), kinds in leaves.items():
+        templates = {}
+        for t in sorted(kinds, key=lambda t: (-docs_of[t], hashed(t))):
+            best, least = None, n // 4 + 1
+            for k, (_, own) in enumerate(templates.items()):
+                differ = sum(a != b for a, b in zip(t, own))
+                if differ < least:
+                    best, least = list(templates)[k], differ
+            if best is None:
+                templates[t] = list(t)
+                best = t
+            else:
+                templates[best] = [a if a == b else None for a, b in zip(templates[best], t)]
+            name[t] = best
+    places = defaultdict(list)
+    for at, t in tokens.items():
+        places[name[t]].append(at)
+    gone, whole = defaultdict(dict), dict(items)
+    for t, at in places.items():
+        if len({whole[i] for i, _ in at}) >= need(len(t)):
+            first = min(at)
+            for i, pos in at:
+                if (pos, whole[i]) != (first[1], whole[first[0]]):
+                    gone[i][pos] = (len(tokens[i, pos]), first[0])
+    out, sets = {}, near_sets(items)
+    for i, text in items:
+        per = Counter()
+        for n, by in gone[i].values():
+            per[by] += n
+        copies = {by for by, n in per.items() if n > 0.5 * len(text.encode().split()) and 100 * len(sets[i] & sets[by]) >= 85 * len(sets[i] | sets[by])}
+        out[i] = "\n".join(x for pos, x in enumerate(text.split("\n")) if pos not in gone[i] or gone[i][pos][1] in copies)
+    return out
+
+
+def test_line_dedup_equals_the_plain_version(spark):
+    real = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    made = [(10**6 + k, t) for k, t in enumerate(TEXTS) if t is not None]
+    for items in (real, made):
+        want = plain_line_dedup(items)
+        got = {r.doc_id: r.text for r in lines.line_dedup(spark.createDataFrame(items, "doc_id bigint, text string")).collect()}
+        assert got == want
+    assert sum(want[i] != t for i, t in items) > 5
+
+
 def vector_rows():
     rng = np.random.default_rng(4)
     out, centers = [], rng.standard_normal((30, 16))
