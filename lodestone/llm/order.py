@@ -9,23 +9,20 @@ reader goes through the order sequentially, and resumes anywhere with one seek.
 
 Texts are tokenised twice, once to count and once to write, so that neither texts nor ids are stored in
 between; the second pass fails if a partition does not hold the sequences that the first one counted.
-Per partition one number comes to the driver. df must be a plain read of a table (write the
+Per partition one number comes to the driver. Equal slots cannot occur, so there are no ties. df must be a plain read of a table (write the
 result of other operators first). Files are written under a name of their attempt and renamed, so a
 task that runs again replaces its shard by the same bytes.
 
-Null and empty texts are a single end mark. Repeated rows are written as often as they occur. Columns
+Ids are those of op8, special tokens in a text included; the end mark is the file's special token. Null and
+empty texts are a single end mark; very long ones are as many sequences as they need. Repeated rows are written as often as they occur. Columns
 other than the id and the text are not read. An empty table has no shards.
 """
 
 from __future__ import annotations
 
-import base64
 import json
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import CUT, tokenizer_path
+from lodestone.llm.bpe import Group, TrieBpe, encoder, groups, received, shipped, tokenizer_path
 from lodestone.llm.common import shared_dir, table, written
 
 LENGTH, PER_SHARD, KEY, ROUNDS = 256, 1 << 15, 20240607, 6
@@ -68,32 +65,27 @@ def permuted(numbers: np.ndarray, n: int, key: int = KEY, back: bool = False) ->
     return out.astype(np.int64)
 
 
-class Ids:
-    """Ids of texts, and their packed form."""
+def end_of(bpe: TrieBpe) -> int:
+    """The mark after each text: the file's special token, or the first free id."""
+    return next(iter(bpe.special.values()), max(bpe.bytes) + 1)
 
-    def __init__(self, path: str):
-        import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.end = max(ranks.values()) + 1
-        self.kind = np.dtype("<u2" if self.end < 1 << 16 else "<u4")
-        self.code = "H" if self.kind.itemsize == 2 else "I"
-        self.encode = tiktoken.Encoding("file", pat_str=CUT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+def kind_of(bpe: TrieBpe) -> np.dtype:
+    return np.dtype("<u2" if max(*bpe.bytes, end_of(bpe)) < 1 << 16 else "<u4")
 
-    def count(self, text: str | None) -> int:
-        return len(self.encode(text)) if text else 0
 
-    def pack(self, text: str | None) -> bytes:
-        out = array(self.code, self.encode(text) if text else ())
-        if sys.byteorder == "big":
-            out.byteswap()
-        return out.tobytes()
-
-
-@lru_cache(maxsize=2)
-def ids_of(path: str) -> Ids:
-    return Ids(path)
+def cut(group: Group, length: int, end: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All sequences of a group of texts as rows of `length` ids, filled with end marks; the text and number of ids of each, the mark counted once."""
+    ids, lo, hi = group.ids()
+    n = hi - lo
+    per = n // length + 1
+    first = np.concatenate([[0], np.cumsum(per)])
+    out = np.full(int(first[-1]) * length, end, kind)
+    at = np.concatenate([[0], np.cumsum(n)])
+    inside = np.arange(at[-1]) - np.repeat(at[:-1], n)
+    out[np.repeat(first[:-1] * length, n) + inside] = ids[np.repeat(lo, n) + inside]
+    owner = np.repeat(np.arange(len(n)), per)
+    return out.reshape(-1, length), owner, np.minimum(length, n[owner] + 1 - (np.arange(len(owner)) - first[owner]) * length)
 
 
 def stored(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -104,11 +96,13 @@ def write_shards(df: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id"
     """Write the shards and index.json to the folder `out`; returns (slot, id_col, part, n_tokens, crc32, shard, place), a row per sequence."""
     narrow = df.select(df[id_col].cast("bigint").alias("id"), df[text_col].cast("string").alias("text"))
 
+    name = shipped(df.sparkSession, tokenizer)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, n = ids_of(tokenizer), 0
+        bpe, n = received(name), 0
         for batch in batches:
-            for t in batch.column(1):
-                n += ids.count(t.as_py()) // length + 1
+            for _, texts in groups(batch.column(1)):
+                n += int((bpe.encode(texts).counts() // length + 1).sum())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
 
     counts = {r.part: r.n for r in narrow.mapInArrow(count, "part int, n bigint").collect()}
@@ -117,24 +111,19 @@ def write_shards(df: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id"
         starts[part], total = total, total + counts[part]
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, part = ids_of(tokenizer), TaskContext.get().partitionId()
-        at, end = starts[part], starts[part] + counts[part]
-        stride = length * ids.kind.itemsize
-        mark = np.array([ids.end], ids.kind).tobytes()
+        bpe, part = received(name), TaskContext.get().partitionId()
+        at, stop, end, kind = starts[part], starts[part] + counts[part], end_of(bpe), kind_of(bpe)
+        stride = length * kind.itemsize
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                rows = batch.slice(lo, 500)
-                owner, place, size, data = [], [], [], []
-                for ident, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-                    packed = ids.pack(text) + mark
-                    for k in range(0, len(packed), stride):
-                        piece = packed[k : k + stride]
-                        owner.append(ident), place.append(k // stride), size.append(len(piece) // ids.kind.itemsize)
-                        data.append(piece if len(piece) == stride else piece + mark * (length - size[-1]))
-                slots = permuted(np.arange(at, at + len(data)), total, key)
-                at += len(data)
-                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(owner, pa.int64()), pa.array(place, pa.int32()), pa.array(size, pa.int32()), pa.array(data, pa.binary())], names=["slot", "id", "part", "n_tokens", "data"])
-        if at != end:
+            for lo, texts in groups(batch.column(1)):
+                made, owner, size = cut(bpe.encode(texts), length, end, kind)
+                n = len(made)
+                slots = permuted(np.arange(at, at + n), total, key)
+                at += n
+                place = np.arange(n) - np.searchsorted(owner, owner)
+                data = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * stride).astype(np.int32)), pa.py_buffer(made)])
+                yield pa.RecordBatch.from_arrays([pa.array(slots), batch.column(0).slice(lo, len(texts)).take(pa.array(owner)), pa.array(place, pa.int32()), pa.array(size, pa.int32()), data], names=["slot", "id", "part", "n_tokens", "data"])
+        if at != stop:
             raise RuntimeError("the table changed between counting and writing")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,15 +150,18 @@ def write_shards(df: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sums, pa.int64()), pa.array(shards, pa.int32()), pa.array(places, pa.int32())], names=["slot", "id", "part", "n_tokens", "crc32", "shard", "place"])
         close()
 
-    ids = ids_of(tokenizer)
+    here = encoder(tokenizer)
     store, root = stored(out)
     store.create_dir(root)
     with store.open_output_stream(f"{root}/index.json") as f:
-        f.write(json.dumps({"sequences": total, "length": length, "per_shard": per_shard, "dtype": ids.kind.str, "end": ids.end, "key": key}).encode())
+        f.write(json.dumps({"sequences": total, "length": length, "per_shard": per_shard, "dtype": kind_of(here).str, "end": end_of(here), "key": key}).encode())
     made = narrow.mapInArrow(sequences, "slot bigint, id bigint, part int, n_tokens int, data binary").withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
     # The slots are dense, so shards are equal ranges and their bounds need no sampling.
     ranged = made.repartitionById(max(1, -(-total // per_shard)), F.col("shard")).drop("shard").sortWithinPartitions("slot")
     rows = written(ranged.mapInArrow(save, "slot bigint, id bigint, part int, n_tokens int, crc32 bigint, shard int, place int"))
+    for left in store.get_file_info(pafs.FileSelector(root)):
+        if left.base_name.startswith("."):  # of attempts that failed
+            store.delete_file(left.path)
     return rows.withColumnRenamed("id", id_col)
 
 
@@ -191,4 +183,4 @@ def read_slots(uri: str, start: int = 0, stop: int | None = None) -> Iterator[np
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return write_shards(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), shared_dir(spark))
+    return write_shards(table(spark, sf_dir, "documents"), tokenizer_path(), shared_dir(spark))
