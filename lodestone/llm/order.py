@@ -13,28 +13,32 @@ Per partition one number comes to the driver. Equal slots cannot occur, so there
 result of other operators first). Files are written under a name of their attempt and renamed, so a
 task that runs again replaces its shard by the same bytes.
 
-Ids are those of op8, special tokens in a text included; the end mark is the file's special token. Null and
+Ids are those of op8, special tokens in a text included; the end mark is the first special token. Null and
 empty texts are a single end mark; very long ones are as many sequences as they need. Repeated rows are written as often as they occur. Columns
 other than the id and the text are not read. An empty table has no shards.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import Group, TrieBpe, encoder, groups, received, shipped, tokenizer_path
+from lodestone.llm.bpe import CUT, groups, shipped, tokenizer_path
 from lodestone.llm.common import shared_dir, table, written
 
 LENGTH, PER_SHARD, KEY, ROUNDS = 256, 1 << 15, 20240607, 6
+#: The special tokens of the vocabulary, numbered from the first id that its ranks leave free.
+SPECIAL = ("<|endoftext|>",)
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -65,25 +69,38 @@ def permuted(numbers: np.ndarray, n: int, key: int = KEY, back: bool = False) ->
     return out.astype(np.int64)
 
 
-def end_of(bpe: TrieBpe) -> int:
-    """The mark after each text: the file's special token, or the first free id."""
-    return next(iter(bpe.special.values()), max(bpe.bytes) + 1)
+class Ids:
+    """Ids of texts by a file of ranks, special tokens as op8 knows them included."""
 
+    def __init__(self, path: str, special: tuple[str, ...]):
+        import tiktoken
 
-def kind_of(bpe: TrieBpe) -> np.dtype:
-    return np.dtype("<u2" if max(*bpe.bytes, end_of(bpe)) < 1 << 16 else "<u4")
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        #: The mark after each text: the first special token, or the first free id.
+        self.end = max(ranks.values()) + 1
+        self.kind = np.dtype("<u2" if self.end + len(special) < 1 << 16 else "<u4")
+        self.encoding = tiktoken.Encoding("file", pat_str=CUT, mergeable_ranks=ranks, special_tokens={s: self.end + k for k, s in enumerate(special)})
 
+    def encode(self, texts: pa.StringArray) -> list[np.ndarray]:
+        own = self.encoding.encode_to_numpy
+        return [own(t, allowed_special="all") for t in texts.to_pylist()]
 
-def cut(group: Group, length: int, end: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All sequences of a group of texts as rows of `length` ids, filled with end marks; the text and number of ids of each, the mark counted once."""
-    ids, lo, hi = group.ids()
-    n = hi - lo
+
+@lru_cache(maxsize=2)
+def ids_of(path: str, special: tuple[str, ...]) -> Ids:
+    return Ids(path, special)
+
+
+def cut(encoded: list[np.ndarray], length: int, end: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All sequences of encoded texts as rows of `length` ids, filled with end marks; the text and number of ids of each, the mark counted once."""
+    n = np.fromiter(map(len, encoded), np.int64, len(encoded))
     per = n // length + 1
     first = np.concatenate([[0], np.cumsum(per)])
     out = np.full(int(first[-1]) * length, end, kind)
     at = np.concatenate([[0], np.cumsum(n)])
     inside = np.arange(at[-1]) - np.repeat(at[:-1], n)
-    out[np.repeat(first[:-1] * length, n) + inside] = ids[np.repeat(lo, n) + inside]
+    out[np.repeat(first[:-1] * length, n) + inside] = np.concatenate(encoded) if len(encoded) else 0
     owner = np.repeat(np.arange(len(n)), per)
     return out.reshape(-1, length), owner, np.minimum(length, n[owner] + 1 - (np.arange(len(owner)) - first[owner]) * length)
 
@@ -92,17 +109,17 @@ def stored(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def write_shards(df: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
+def write_shards(df: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, special: tuple[str, ...] = SPECIAL) -> DataFrame:
     """Write the shards and index.json to the folder `out`; returns (slot, id_col, part, n_tokens, crc32, shard, place), a row per sequence."""
     narrow = df.select(df[id_col].cast("bigint").alias("id"), df[text_col].cast("string").alias("text"))
 
     name = shipped(df.sparkSession, tokenizer)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, n = received(name), 0
+        ids, n = ids_of(SparkFiles.get(name), special), 0
         for batch in batches:
             for _, texts in groups(batch.column(1)):
-                n += int((bpe.encode(texts).counts() // length + 1).sum())
+                n += sum([len(x) // length + 1 for x in ids.encode(texts)])
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
 
     counts = {r.part: r.n for r in narrow.mapInArrow(count, "part int, n bigint").collect()}
@@ -111,12 +128,12 @@ def write_shards(df: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id"
         starts[part], total = total, total + counts[part]
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part = received(name), TaskContext.get().partitionId()
-        at, stop, end, kind = starts[part], starts[part] + counts[part], end_of(bpe), kind_of(bpe)
-        stride = length * kind.itemsize
+        ids, part = ids_of(SparkFiles.get(name), special), TaskContext.get().partitionId()
+        at, stop = starts[part], starts[part] + counts[part]
+        stride = length * ids.kind.itemsize
         for batch in batches:
             for lo, texts in groups(batch.column(1)):
-                made, owner, size = cut(bpe.encode(texts), length, end, kind)
+                made, owner, size = cut(ids.encode(texts), length, ids.end, ids.kind)
                 n = len(made)
                 slots = permuted(np.arange(at, at + n), total, key)
                 at += n
@@ -150,11 +167,11 @@ def write_shards(df: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sums, pa.int64()), pa.array(shards, pa.int32()), pa.array(places, pa.int32())], names=["slot", "id", "part", "n_tokens", "crc32", "shard", "place"])
         close()
 
-    here = encoder(tokenizer)
+    here = ids_of(tokenizer, special)
     store, root = stored(out)
     store.create_dir(root)
     with store.open_output_stream(f"{root}/index.json") as f:
-        f.write(json.dumps({"sequences": total, "length": length, "per_shard": per_shard, "dtype": kind_of(here).str, "end": end_of(here), "key": key}).encode())
+        f.write(json.dumps({"sequences": total, "length": length, "per_shard": per_shard, "dtype": here.kind.str, "end": here.end, "key": key}).encode())
     made = narrow.mapInArrow(sequences, "slot bigint, id bigint, part int, n_tokens int, data binary").withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
     # The slots are dense, so shards are equal ranges and their bounds need no sampling.
     ranged = made.repartitionById(max(1, -(-total // per_shard)), F.col("shard")).drop("shard").sortWithinPartitions("slot")
@@ -183,4 +200,4 @@ def read_slots(uri: str, start: int = 0, stop: int | None = None) -> Iterator[np
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return write_shards(table(spark, sf_dir, "documents"), tokenizer_path(), shared_dir(spark))
+    return write_shards(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), shared_dir(spark))
