@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +56,25 @@ def dropped(df: DataFrame) -> None:
         jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+class Scratch:
+    """Tables written on the way to a result: called like `written`; `clear` deletes them."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.tables.append(written(df))
+        return self.tables[-1]
+
+    def drop(self, df: DataFrame) -> None:
+        dropped(df)
+        self.tables = [t for t in self.tables if t is not df]
+
+    def clear(self) -> None:
+        for t in list(self.tables):
+            self.drop(t)
+
+
 #: Words of 64 bits in a bitmap: 2 ** 17 rows, 8 million bits, however much it stands for.
 BITMAP = 1 << 17
 
@@ -65,10 +84,10 @@ def _slot(key: Column) -> tuple[Column, Column]:
     return F.shiftright(at, 6).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 64).cast("int"))
 
 
-def bitmap(keys: DataFrame, key: str) -> DataFrame:
+def bitmap(keys: DataFrame, key: str, write: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """The keys as a written bitmap of at most BITMAP rows."""
     word, bit = _slot(F.col(key))
-    return written(keys.select(word.alias("bitmap_word"), bit.alias("bitmap_bit")).groupBy("bitmap_word").agg(F.bit_or("bitmap_bit").alias("bitmap_bits")))
+    return write(keys.select(word.alias("bitmap_word"), bit.alias("bitmap_bit")).groupBy("bitmap_word").agg(F.bit_or("bitmap_bit").alias("bitmap_bits")))
 
 
 def perhaps_in(df: DataFrame, bits: DataFrame, key: Column, flag: str) -> DataFrame:

@@ -1,25 +1,29 @@
 """Near-duplicate documents: banded MinHash, candidates checked on odd sketches, links confirmed on full sets.
 
-Texts whose words are equal are one class, found by a hash of the words and pre-aggregated; what
+Texts whose words are equal are one class, found by a 128-bit hash of the words and pre-aggregated; what
 follows sees one document per class. Each has SAMPLES MinHash values of its shingles. BANDS groups of
-ROWS of them give bucket keys. All the values are folded into an odd sketch: every (position, value)
-flips one of BITS bits, so the bits in which two sketches differ count the differing values modulo
-collisions, and their number estimates a high similarity far better than the shared buckets do.
-
-A bucket is compared in blocks of about BLOCK members, pair of blocks by pair of blocks, so a large
-one spreads over tasks. Within a pair of blocks all sketches are compared, none is emitted yet: pairs
-far above the threshold are linked by a spanning forest; pairs near it, in different trees, are all
-emitted; pairs that share an earlier bucket are left to that one. Buckets of more than EXACT members
-bring their full sets along, so that pairs near the threshold are confirmed on the spot and only a
-spanning forest of true links leaves. There is no cap on partners. Emitted pairs are confirmed on the
-full shingle sets, and components follow from the confirmed links.
+ROWS of them give bucket keys; buckets with the same members are one. All the values are folded into an
+odd sketch: every (position, value) flips one of BITS bits, so the bits in which two sketches differ count
+the differing values modulo collisions, and their number estimates a high similarity far better than the
+shared buckets do. Pairs whose sketches may reach the threshold are candidates.
+
+Candidates are compared in rounds. In each, a bucket is cut into blocks of about BLOCK members, and every
+member names its nearest candidates of other components, `most` of them at most; each named pair is confirmed
+on the words of both texts, and only confirmed links unite. The first round compares each block with itself
+and with the bucket's least member, which is linear in the bucket. Later rounds take only buckets that are
+not done and have members of several components, compare every pair of blocks, and name WIDER times as many;
+the last one is the one in which nobody had more candidates to name. So no pair of candidates in different
+components is left unchecked, no group emits all its pairs while its links are found, and no text and
+no set is copied per block: blocks hold ids, sizes and sketches.
 
 With bands of 5 in 25, a pair at the threshold of 0.85 shares no bucket once in two million. A sketch
-of 512 values errs by about 0.018 (standard deviation) at 0.85, and NEAR and SURE are four of those
-away from it.
+of 512 values errs by about 0.018 (standard deviation) at 0.85; candidates are pairs down to four of those
+below it.
 
-Null, empty and blank texts have no shingles and are linked with nothing. Repeated rows are copies.
-One row per input row comes back. Other columns are not read; empty tables give an empty result.
+Null, empty and blank texts have no shingles and are linked with nothing. A text of any length is read whole.
+Repeated rows are copies; rows that share an id but not the text are one node with the links of all of them.
+Equally near candidates are named by id. One row per input row comes back. Other columns are not read, so
+names cannot clash; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -32,18 +36,20 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import dropped, runs, table, written
+from lodestone.llm.common import Scratch, bitmap, dropped, free, perhaps_in, runs, table, written
 from lodestone.llm.components import components
 
 WORDS, PERCENT = 5, 85
-SAMPLES, BANDS, ROWS, BITS, BLOCK, EXACT = 512, 25, 5, 1024, 400, 64
-#: Standard error of a sketch's estimate at 0.85; candidates within four of the threshold are confirmed one by one.
+SAMPLES, BANDS, ROWS, BITS, BLOCK, MOST, WIDER = 512, 25, 5, 1024, 400, 4, 8
+#: Standard error of a sketch's estimate at 0.85; candidates may lie four of them below the threshold.
 ERROR = 0.018
 _rng = np.random.default_rng(20240607)
 FACTOR = (_rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 SHIFT = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)
 WORD_FACTOR = _rng.integers(0, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLACE = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
+#: Hashes of words that a worker remembers.
+KNOWN = 100_000
 known: dict[bytes, int] = {}
 
 
@@ -63,7 +69,7 @@ def shingles(words: list[bytes]) -> np.ndarray:
     n = len(words)
     if n == 0:
         return np.zeros(0, np.uint64)
-    if len(known) > 400_000:
+    if len(known) > KNOWN:
         known.clear()
     codes = [known[w] if w in known else known.setdefault(w, xxhash.xxh3_64_intdigest(w)) for w in words]
     a, k = np.array(codes, dtype=np.uint64), min(n, WORDS)
@@ -124,122 +130,171 @@ def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return narrow.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, n bigint, keys array<bigint>, sketch binary")
 
 
-def compare(ids: np.ndarray, n: np.ndarray, keys: np.ndarray, sketch: np.ndarray, side: np.ndarray, band: int, within: bool, percent: int, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """Pairs of one pair of blocks that have to be confirmed. side: which block a row is of."""
-    near, sure = differing(max(0.0, percent / 100 - 4 * ERROR)), differing(min(1.0, percent / 100 + 4 * ERROR))
-    parent = list(range(len(ids)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    close: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    left, right = (np.arange(len(ids)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+def compare(ids: np.ndarray, n: np.ndarray, component: np.ndarray, sketch: np.ndarray, left: np.ndarray, right: np.ndarray, most: int, percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """For each row of `left` its nearest `most` candidates of other components in `right`, as two arrays of ids; whether some row has more."""
+    near = differing(max(0.0, percent / 100 - 4 * ERROR))
+    a, b, more = [], [], False
     for at in range(0, len(left), 64):
         x = left[at : at + 64]
         z = np.bitwise_count(sketch[x][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int64)
-        good = (z <= near) & (100 * np.minimum(n[x][:, None], n[right][None]) >= percent * np.maximum(n[x][:, None], n[right][None])) & (ids[x][:, None] != ids[right][None])
-        if within:
-            good &= x[:, None] < right[None]
+        low, high = np.minimum(n[x][:, None], n[right][None]), np.maximum(n[x][:, None], n[right][None])
+        z[(100 * low < percent * high) | (component[x][:, None] == component[right][None])] = near + 1
+        good = z <= near
+        crowded = np.flatnonzero(good.sum(axis=1) > most)
+        if len(crowded):
+            more = True
+            # By distance, then id.
+            order = np.lexsort((np.broadcast_to(ids[right], (len(crowded), len(right))), z[crowded]), axis=1)[:, :most]
+            good[crowded] = False
+            good[crowded[:, None], order] = True
         i, j = np.nonzero(good)
-        if len(i):
-            a, b = x[i], right[j]
-            first = (keys[a] == keys[b]).argmax(axis=1) == band
-            close.append((a[first], b[first], z[i, j][first]))
-    if not close:
-        return []
-    a, b, z = (np.concatenate(c) for c in zip(*close, strict=True))
-    out = []
-    for k in np.argsort(z, kind="stable"):
-        x, y = root(int(a[k])), root(int(b[k]))
-        if x == y:
-            continue
-        if sets is not None:
-            common = len(np.intersect1d(sets[a[k]], sets[b[k]], assume_unique=True))
-            if 100 * common < percent * (len(sets[a[k]]) + len(sets[b[k]]) - common):
-                continue
-        out.append((int(ids[a[k]]), int(ids[b[k]])))
-        if sets is not None or z[k] <= sure:
-            parent[max(x, y)] = min(x, y)
-    return out
+        a.append(ids[x[i]]), b.append(ids[right[j]])
+    return np.concatenate(a), np.concatenate(b), more
 
 
-def candidates(grouped: DataFrame, percent: int) -> DataFrame:
-    """grouped: (key, i, j, side, band, id, n, keys, sketch, items) in the order of key, i, j within each partition; items: null but in large buckets."""
+def candidates(grouped: DataFrame, most: int, percent: int) -> DataFrame:
+    """grouped: (key, i, j, side, id, n, component, sketch) in the order of key, i, j within each partition. Pairs (a, b) with a below b, and for each key of which a row has more than `most` candidates a row with that key alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
-
         for rows in runs(batches, ["key", "i", "j"]):
             m = rows.num_rows
             if m < 2:
                 continue
-            ids, n, side = (rows.column(c).to_numpy() for c in ("id", "n", "side"))
-            keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.int32).reshape(m, BANDS)
+            ids, n, component, side = (rows.column(c).to_numpy() for c in ("id", "n", "component", "side"))
             sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(m, BITS // 64)
-            first = {c: rows.column(c)[0].as_py() for c in ("band", "i", "j")}
-            sets = None if rows.column("items").null_count else [np.frombuffer(x, np.int64) for x in rows.column("items").to_pylist()]
-            out += compare(ids, n, keys, sketch, side, first["band"], first["i"] == first["j"], percent, sets)
-            if len(out) >= 10_000:
-                yield done()
-                out.clear()
-        yield done()
-
-    return grouped.mapInArrow(run, "a bigint, b bigint")
-
-
-def shingle_sets(df: DataFrame, as_bytes: bool = False) -> DataFrame:
-    """(id, text) to (id, items), sorted; as an array, or as the bytes of one."""
-    kind = pa.binary() if as_bytes else pa.list_(pa.int64())
+            key, i, j = (rows.column(c)[0].as_py() for c in ("key", "i", "j"))
+            left, right = (np.arange(m),) * 2 if i == j else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+            if not len(left) or not len(right):
+                continue
+            a, b, more = compare(ids, n, component, sketch, left, right, most, percent)
+            if i != j:
+                c, d, more_too = compare(ids, n, component, sketch, right, left, most, percent)
+                a, b, more = np.concatenate([a, c]), np.concatenate([b, d]), more or more_too
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            k = pairs.shape[1]
+            if k:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(k, pa.int64())], names=["a", "b", "key"])
+            if more:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([key], pa.int64())], names=["a", "b", "key"])
+
+    return grouped.mapInArrow(run, "a bigint, b bigint, key bigint")
+
+
+def whole_sets(words: list[bytes]) -> set:
+    """The distinct shingles themselves."""
+    return set(zip(*[words[k:] for k in range(WORDS)])) if len(words) >= WORDS else {tuple(words)} if words else set()
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose texts (id, text) reach the threshold, by the words themselves."""
+    scratch = Scratch()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    asked = perhaps_in(texts, bitmap(ends, "id", scratch), F.col("id"), "perhaps_asked").filter("perhaps_asked").select("id", "text")
+    # Texts that no pair asks for stay where they are. One plan at every size, so nothing is broadcast when it is small.
+    asked = scratch(asked)
+    one = scratch(pairs.join(asked.select(F.col("id").alias("a"), F.col("text").alias("x")).hint("merge"), "a"))
+    both = one.join(asked.select(F.col("id").alias("b"), F.col("text").alias("y")).hint("merge"), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, mine = None, set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                items = [np.sort(shingles(words_of(t.as_py())).view(np.int64)) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in items] if as_bytes else items, kind)], names=["id", "items"])
-
-    return df.mapInArrow(run, f"id bigint, items {'binary' if as_bytes else 'array<bigint>'}")
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                if (y := y.as_py()) != text:  # rows come sorted by b
+                    text, mine = y, whole_sets(words_of(y))
+                other = whole_sets(words_of(x.as_py()))
+                common = len(mine & other)
+                keep.append(common > 0 and 100 * common >= percent * (len(mine) + len(other) - common))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    found = written(both.mapInArrow(run, "a bigint, b bigint").distinct())
+    scratch.clear()
+    return found
+
+
+def blocked(members: DataFrame, first: bool) -> DataFrame:
+    """Deal members (key, c, least, id, n, component, sketch) into blocks (key, i, j, side, ...): each with itself and the bucket's least member, or all pairs."""
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    if first:
+        dealt = dealt.withColumn("i", F.explode(F.when(F.col("id") == F.col("least"), every).otherwise(F.array("block")))).withColumn("j", F.col("i")).withColumn("side", F.lit(0))
+    else:
+        dealt = dealt.withColumn("other", F.explode(every)).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).withColumn("side", (F.col("block") > F.col("other")).cast("int"))
+    order = ["key", "i", "j"]
+    return dealt.select(*order, "side", "id", "n", "component", "sketch").repartition(*order).sortWithinPartitions(*order)
+
+
+def links_of(heads: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """From heads (id, n, keys, sketch) and texts (id, text): (node, component) of all that have a link."""
+    scratch = Scratch()
+    banded = heads.select("id", F.explode("keys").alias("key"))
+    twice = scratch(banded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"))
+    held = scratch(perhaps_in(banded, bitmap(twice, "key", scratch), F.col("key"), "perhaps_shared").filter("perhaps_shared").select("key", "id"))
+    # One bucket of those with the same members, told by 128 bits.
+    met = held.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).filter("c > 1")
+    shared = scratch(met.groupBy("c", "least", "x", "y").agg(F.min("key").alias("key")).select("key", "c", "least"))
+    members = scratch(held.join(shared.hint("merge"), "key"))
+    narrow = heads.select("id", "n", "sketch")
+    open_, found, links, most, first = members, None, None, MOST, True
+    while True:
+        if found is None:
+            now = open_.join(narrow.hint("merge"), "id").withColumn("component", F.col("id"))
+        else:
+            labelled = scratch(open_.join(found.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+            several = scratch(labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"))
+            if several.isEmpty():
+                break
+            now = labelled.join(several.hint("merge"), "key", "left_semi").join(narrow.hint("merge"), "id")
+        out = scratch(candidates(blocked(now, first), most, percent))
+        new = confirmed(scratch(out.filter("a is not null").select("a", "b").distinct()), texts, percent)
+        links = scratch(new if links is None else links.unionByName(new))
+        found = scratch(components(links))
+        cut = out.filter("key is not null").select("key")
+        if first:
+            cut = cut.union(open_.filter(F.col("c") > BLOCK).select("key"))
+        cut = scratch(cut.distinct())
+        if cut.isEmpty():
+            break
+        open_ = scratch(members.join(cut.hint("merge"), "key", "left_semi"))
+        most, first = most * WIDER, False
+    result = written(found)
+    scratch.clear()
+    return result
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per input row: id_col, n_shingles, component_id, kept. Ids are numbers."""
     every = written(sketched(df, id_col, text_col))
     classes = written(every.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep")))
-    heads = every.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    heads = written(heads.select("id", "n", "keys", "sketch"))
-    banded = heads.select("id", F.posexplode("keys").alias("band", "key"))
-    shared = written(banded.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"))
+    reps = classes.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "rep")
+    mine = every.filter("id is not null and h1 is not null").join(reps.hint("merge"), (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & (F.col("id") == F.col("rep")))
+    heads = written(mine.select("id", "h1", "h2", "n", "keys", "sketch").dropDuplicates(["id", "h1", "h2"]).drop("h1", "h2"))
     texts = df.select(df[id_col].cast("bigint").alias("id"), df[text_col].cast("string").alias("text"))
-    members = banded.join(shared, "key")
-    crowded = written(members.filter(F.col("c") > EXACT).select("id").distinct())
-    crowd = written(shingle_sets(texts.join(crowded, "id", "left_semi"), True).dropDuplicates(["id"]))
-    members = members.join(heads, "id").join(crowd, "id", "left").withColumn("items", F.when(F.col("c") > EXACT, F.col("items")))
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    low = F.transform("keys", lambda k: F.unhex(F.lpad(F.hex(k.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")))
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grouped = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "band", "id", "n", F.aggregate(low, F.lit(b""), lambda a, x: F.concat(a, x)).alias("keys"), "sketch", "items")
-    order = ["key", "i", "j"]
-    pairs = written(candidates(grouped.repartition(*order).sortWithinPartitions(*order), percent))
-    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sets = written(shingle_sets(texts.join(asked, "id", "left_semi")).dropDuplicates(["id", "items"]))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    links = both.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), common.alias("c")).filter(F.col("c") * 100 >= (F.col("nx") + F.col("ny") - F.col("c")) * percent).select("a", "b")
-    found = written(components(links))
-    for used in (heads, shared, crowded, crowd, pairs, asked, sets):
-        dropped(used)
-    named = every.select("id", "h1", "h2", "n").join(classes, ["h1", "h2"], "left").select("id", "n", F.coalesce("rep", "id").alias("node"))
-    out = named.join(found, "node", "left").select("id", "n", F.coalesce("component", "node").alias("component_id"))
+    found = links_of(heads, texts, percent)
+    dropped(heads)
+    named = every.select("id", "h1", "h2", "n").join(classes.hint("merge"), ["h1", "h2"], "left").select("id", "n", F.coalesce("rep", "id").alias("node"))
+    out = named.join(found.hint("merge"), "node", "left").select("id", "n", F.coalesce("component", "node").alias("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """df with one row of each group of near copies: the one with the smallest id; of rows that share it, that with the least text. Rows without id stay.
+
+    Only rows that may go are moved, as far as a bitmap of fixed size can tell them.
+    """
+    found = written(near_duplicates(df, id_col, text_col, percent).select(F.col(id_col).alias("id"), "kept").filter("id is not null"))
+    key, flag, row = (free(df, c) for c in ("id_of_copies", "perhaps_copy", "row"))
+    counted = written(found.groupBy("id").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept")).filter("n > 1 or not kept"))
+    marked = perhaps_in(df, bitmap(counted, "id"), df[id_col].cast("bigint"), flag)
+    moved = F.col(flag) & F.col(id_col).isNotNull()
+    copies = counted.filter("not kept").select(F.col("id").alias(key)).hint("merge")
+    left = marked.filter(moved).drop(flag)
+    left = left.join(copies, left[id_col].cast("bigint") == copies[key], "left_anti")
+    one = left.groupBy(F.col(id_col).alias(key)).agg(F.min_by(F.struct(*[left[c] for c in df.columns]), F.coalesce(left[text_col].cast("string"), F.lit(""))).alias(row))
+    return marked.filter(~moved).select(*df.columns).unionByName(one.select(*[F.col(row)[c].alias(c) for c in df.columns]))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

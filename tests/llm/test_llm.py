@@ -471,7 +471,7 @@ def test_training_order(docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
     lib, out = Tokenizer.from_file(bpe.tokenizer_path()), f"file://{tmp_path}/shards"
-    made = order.write_shards(docs, bpe.tokenizer_path(), out, length=64, per_shard=100).orderBy("slot").collect()
+    made = order.write_shards(docs, bpe.tokenizer_path("byte_bpe_50k.tiktoken"), out, length=64, per_shard=100).orderBy("slot").collect()
     seqs = list(order.read_slots(out))
     assert [r.slot for r in made] == list(range(len(seqs))) and all((r.shard, r.place) == divmod(r.slot, 100) for r in made)
     assert all(zlib.crc32(s.tobytes()) == r.crc32 for r, s in zip(made, seqs, strict=True))
@@ -485,9 +485,9 @@ def test_training_order(docs, empty, tmp_path):
             assert ids == [*lib.encode(t or "", add_special_tokens=False).ids, 50256]
     assert len(parts[6][0]) == 2
     (tmp_path / "shards" / ".7-99").write_bytes(b"left by an attempt that failed")
-    order.write_shards(docs, bpe.tokenizer_path(), out, length=64, per_shard=100)
+    order.write_shards(docs, bpe.tokenizer_path("byte_bpe_50k.tiktoken"), out, length=64, per_shard=100)
     assert not [p for p in (tmp_path / "shards").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
-    assert order.write_shards(empty, bpe.tokenizer_path(), f"file://{tmp_path}/none").count() == 0
+    assert order.write_shards(empty, bpe.tokenizer_path("byte_bpe_50k.tiktoken"), f"file://{tmp_path}/none").count() == 0
 
 
 def test_pipeline(docs, spark, tmp_path):
@@ -499,6 +499,9 @@ def test_pipeline(docs, spark, tmp_path):
     assert {r.doc_id for r in one.collect()} == {i for i, t, *_ in rows() if i is not None and quality.judge(t)[-1]}
     two = common.written(stages["line_dedup"](spark, one, SF))
     assert two.columns == columns and two.count() == one.count()
+    texts_of = {r.doc_id: r.text for r in two.collect()}
+    judged = {i: quality.clean(t) for i, t, *_ in rows() if i is not None and quality.judge(t)[-1]}
+    assert texts_of == plain_line_dedup(list(judged.items())) and all(r.n_chars == len(r.text) for r in two.collect())
     three = common.written(stages["near_duplicates"](spark, two, SF))
     sets = near_sets([(r.doc_id, r.text) for r in two.collect()])
     links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
@@ -510,6 +513,52 @@ def test_pipeline(docs, spark, tmp_path):
     assert len(five) == four.count() and {bpe.encoder(bpe.tokenizer_path()).decode(r.ids) for r in five} == {r.text for r in four.collect()}
 
 
+def test_pipeline_stages_on_odd_rows(docs, empty, spark):
+    """Null ids and texts, repeated rows and ids, clashing columns, empty tables."""
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in stages.items():
+        got = common.written(stage(spark, empty, SF))
+        assert got.count() == 0 and (name == "encoding" or got.columns == docs.columns)
+    two = common.written(stages["line_dedup"](spark, docs, SF))
+    assert two.columns == docs.columns and two.count() == len(rows())
+    twice = spark.createDataFrame([(1, "one two three four five six"), (1, "one two three four five six"), (1, "other words altogether stand here"), (None, "x y"), (None, "x y"), (2, None), (3, "")], "doc_id bigint, text string").withColumn("id_of_copies", F.lit(9)).withColumn("row", F.lit("r"))
+    got = sorted(((r.doc_id or 0), r.text or "", r.id_of_copies, r.row) for r in stages["near_duplicates"](spark, twice, SF).collect())
+    assert got == [(0, "x y", 9, "r"), (0, "x y", 9, "r"), (1, "one two three four five six", 9, "r"), (2, "", 9, "r"), (3, "", 9, "r")]
+    mixed = stages["mixing_sources"](spark, docs, SF)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in mixing.mix(docs).collect())
+    assert stages["encoding"](spark, docs, SF).count() == len(rows())
+
+
+def test_near_duplicates_looks_on_after_a_refusal(spark):
+    """A nearest candidate that the full sets refuse does not hide a farther one that is a link."""
+    base = [f"w{k}" for k in range(400)]
+    items = [(0, base)]
+    for i in range(1, 60):  # similarities from 0.80 to 0.90 around the threshold
+        w = list(base)
+        for k in range(6 + i % 4):
+            w[(i * 7 + k * 41) % 400] = f"z{i}x{k}"
+        items.append((i, w))
+    items = [(i, " ".join(w)) for i, w in items]
+    sets = near_sets(items)
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = plain_components(list(sets), links)
+    assert len(set(want.values())) > 1
+    for most in (1, 4):
+        old, neardup.MOST = neardup.MOST, most
+        try:
+            got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(items, "doc_id bigint, text string")).collect()}
+        finally:
+            neardup.MOST = old
+        assert got == want
+
+
+def test_near_duplicates_moves_no_sets_in_a_bucket_of_thousands(spark):
+    words = [f"w{k}" for k in range(120)]
+    items = [(i, " ".join([*words[: 40 + i % 3], f"z{i}", *words[41 + i % 3 :]])) for i in range(5000)]
+    got = neardup.near_duplicates(spark.createDataFrame(items, "doc_id bigint, text string")).groupBy("component_id").count().collect()
+    assert [tuple(r) for r in got] == [(0, 5000)]
+
+
 @pytest.mark.parametrize("name", sorted(q.SQL))
 def test_equals_sql(spark, oracle, name):
     df = q.QUERIES[name](spark, SF)
