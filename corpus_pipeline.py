@@ -7,54 +7,19 @@ one's docs. All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, lines, mixing, neardup, quality
-from lodestone.llm.common import table, written
+from lodestone.llm.common import Scratch, table
+from lodestone.llm.stages import STAGES
 
 #: Line templates, components and token ids are beyond SQL; the tests run the stages by brute force.
 ORACLE_SQL = None
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep, without their failing lines."""
-    kept = quality.filter_documents(docs)
-    return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines of recurring templates."""
-    edited = lines.line_dedup(docs)
-    return edited.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    copies = written(neardup.near_duplicates(docs).filter("not kept").select("doc_id"))
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-
-
-def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's rate asks for."""
-    return mixing.emitted(docs)
-
-
-def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, the token ids, and digests of the ids and of the text decoded from them."""
-    return bpe.encode_documents(docs, bpe.tokenizer_path(), fields=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
-
-
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("line_dedup", line_dedup),
-    ("near_duplicates", near_duplicates),
-    ("mixing_sources", mixing_sources),
-    ("encoding", encoding),
-]
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    kept = Scratch()
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        docs = kept(stage(spark, docs, sf_dir))
+        for done in kept.tables[:-1]:  # only the last one is read any more
+            kept.drop(done)
     return STAGES[-1][1](spark, docs, sf_dir)
