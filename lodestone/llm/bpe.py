@@ -33,14 +33,14 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import table
+from lodestone.llm.common import FORGET, table, tidy
 
 #: Words after which a generation ends, and pairs of tokens that a worker remembers.
-CACHE = 120_000
+CACHE = 100_000
 #: Longer words are not remembered.
 LONG = 256
 #: Characters of texts taken at a time.
-GROUP = 8_000_000
+GROUP = 4_000_000
 FIELDS = {"n_tokens": "bigint", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 #: Fixed values of byte-level BPE: how a text is cut before merging, where the file does not name its own pattern.
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -318,6 +318,9 @@ def encoder(path: str) -> TrieBpe:
     return TrieBpe(path)
 
 
+FORGET["bpe"] = encoder.cache_clear
+
+
 def shipped(spark: SparkSession, path: str) -> str:
     """Send a tokenizer file to the executors; returns the name under which `received` opens it there."""
     spark.sparkContext.addFile(path)
@@ -374,9 +377,10 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             for at, texts in groups(batch.column(1)):
                 group = bpe.encode(texts)
+                pa.default_memory_pool().release_unused()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *(column(group, f) for f in fields)], names=[id_col, *fields])
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(tidy(run, "bpe"), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

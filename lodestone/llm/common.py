@@ -122,6 +122,28 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: What workers remember between tasks, by operator, and how to forget it.
+FORGET: dict[str, Callable[[], object]] = {}
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow, for workers that live for many tasks and operators.
+
+    It begins by forgetting what operators other than `keeps` remember, and ends by giving Arrow's free memory back.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, forget in FORGET.items():
+            if name != keeps:
+                forget()
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """The groups of a partition that is sorted by numeric `keys`, one table each; holds one group and one batch."""
     held: pa.Table | None = None
@@ -165,7 +187,7 @@ def running(keyed: DataFrame, by: list[str], size: str) -> DataFrame:
             )
             rows, total = rows + n, total + int(sums[-1]) if n else total
 
-    summed = written(ranged.mapInArrow(add, schema))
+    summed = written(ranged.mapInArrow(tidy(add), schema))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         summed.groupBy("part").agg(F.count("*").alias("n"), F.sum(size).alias("b"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bitmap, dropped, free, perhaps_in, runs, table, written
+from lodestone.llm.common import bitmap, dropped, free, perhaps_in, runs, table, tidy, written
 from lodestone.llm.neardup import shingles, words_of
 
 DEPTH, SIMILAR, SHORT, SHORT_DOCS, MIN_DOCS, LONG, LONG_DOCS, MIN_TOKENS, MAX_LOSS = 3, 0.75, 10, 5, 3, 50, 2, 3, 0.5
@@ -83,7 +83,7 @@ def parsed(docs: DataFrame, texts: bool) -> DataFrame:
                 cols = zip(*found, strict=True) if found else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
 
-    return docs.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, types)))
+    return docs.mapInArrow(tidy(run), ", ".join(f"{n} {t}" for n, t in zip(names, types)))
 
 
 def enough(docs: Column, n: Column) -> Column:
@@ -129,7 +129,7 @@ def clustered(kinds: DataFrame) -> DataFrame:
             h1, h2 = group.column("h1").combine_chunks(), group.column("h2").combine_chunks()
             yield from pa.table([h1, h2, h1.take(pa.array(first)), h2.take(pa.array(first))], names=["h1", "h2", "x", "y"]).to_batches()
 
-    return kinds.repartition("leaf").sortWithinPartitions("leaf", F.desc("docs"), "h1", "h2").mapInArrow(run, "h1 bigint, h2 bigint, x bigint, y bigint")
+    return kinds.repartition("leaf").sortWithinPartitions("leaf", F.desc("docs"), "h1", "h2").mapInArrow(tidy(run), "h1 bigint, h2 bigint, x bigint, y bigint")
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def near_copies(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 keep.append(bool(a) and 100 * len(a & b) >= 85 * len(a | b))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    found = written(both.mapInArrow(run, "id bigint, by bigint").distinct())
+    found = written(both.mapInArrow(tidy(run), "id bigint, by bigint").distinct())
     for used in (texts, left):
         dropped(used)
     return found

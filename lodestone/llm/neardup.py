@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import Scratch, bitmap, dropped, free, perhaps_in, runs, table, written
+from lodestone.llm.common import FORGET, Scratch, bitmap, dropped, free, perhaps_in, runs, table, tidy, written
 from lodestone.llm.components import components
 
 WORDS, PERCENT = 5, 85
@@ -51,6 +51,7 @@ PLACE = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 #: Hashes of words that a worker remembers.
 KNOWN = 100_000
 known: dict[bytes, int] = {}
+FORGET["neardup"] = known.clear
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -127,7 +128,7 @@ def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 keys.append(band_keys(least)), sketches.append(odd_sketch(least))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "h1", "h2", "n", "keys", "sketch"])
 
-    return narrow.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, n bigint, keys array<bigint>, sketch binary")
+    return narrow.mapInArrow(tidy(run, "neardup"), "id bigint, h1 bigint, h2 bigint, n bigint, keys array<bigint>, sketch binary")
 
 
 def compare(ids: np.ndarray, n: np.ndarray, component: np.ndarray, sketch: np.ndarray, left: np.ndarray, right: np.ndarray, most: int, percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -177,7 +178,7 @@ def candidates(grouped: DataFrame, most: int, percent: int) -> DataFrame:
             if more:
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([key], pa.int64())], names=["a", "b", "key"])
 
-    return grouped.mapInArrow(run, "a bigint, b bigint, key bigint")
+    return grouped.mapInArrow(tidy(run, "neardup"), "a bigint, b bigint, key bigint")
 
 
 def whole_sets(words: list[bytes]) -> set:
@@ -207,7 +208,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 keep.append(common > 0 and 100 * common >= percent * (len(mine) + len(other) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    found = written(both.mapInArrow(run, "a bigint, b bigint").distinct())
+    found = written(both.mapInArrow(tidy(run, "neardup"), "a bigint, b bigint").distinct())
     scratch.clear()
     return found
 

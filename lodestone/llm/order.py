@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import CUT, groups, shipped, tokenizer_path
-from lodestone.llm.common import shared_dir, table, written
+from lodestone.llm.common import FORGET, shared_dir, table, tidy, written
 
 LENGTH, PER_SHARD, KEY, ROUNDS = 256, 1 << 15, 20240607, 6
 #: The special tokens of the vocabulary, numbered from the first id that its ranks leave free.
@@ -92,6 +92,9 @@ def ids_of(path: str, special: tuple[str, ...]) -> Ids:
     return Ids(path, special)
 
 
+FORGET["order"] = ids_of.cache_clear
+
+
 def cut(encoded: list[np.ndarray], length: int, end: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All sequences of encoded texts as rows of `length` ids, filled with end marks; the text and number of ids of each, the mark counted once."""
     n = np.fromiter(map(len, encoded), np.int64, len(encoded))
@@ -122,7 +125,7 @@ def write_shards(df: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id"
                 n += sum([len(x) // length + 1 for x in ids.encode(texts)])
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
 
-    counts = {r.part: r.n for r in narrow.mapInArrow(count, "part int, n bigint").collect()}
+    counts = {r.part: r.n for r in narrow.mapInArrow(tidy(count, "order"), "part int, n bigint").collect()}
     starts, total = {}, 0
     for part in sorted(counts):
         starts[part], total = total, total + counts[part]
@@ -172,10 +175,10 @@ def write_shards(df: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id"
     store.create_dir(root)
     with store.open_output_stream(f"{root}/index.json") as f:
         f.write(json.dumps({"sequences": total, "length": length, "per_shard": per_shard, "dtype": here.kind.str, "end": here.end, "key": key}).encode())
-    made = narrow.mapInArrow(sequences, "slot bigint, id bigint, part int, n_tokens int, data binary").withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
+    made = narrow.mapInArrow(tidy(sequences, "order"), "slot bigint, id bigint, part int, n_tokens int, data binary").withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int"))
     # The slots are dense, so shards are equal ranges and their bounds need no sampling.
     ranged = made.repartitionById(max(1, -(-total // per_shard)), F.col("shard")).drop("shard").sortWithinPartitions("slot")
-    rows = written(ranged.mapInArrow(save, "slot bigint, id bigint, part int, n_tokens int, crc32 bigint, shard int, place int"))
+    rows = written(ranged.mapInArrow(tidy(save), "slot bigint, id bigint, part int, n_tokens int, crc32 bigint, shard int, place int"))
     for left in store.get_file_info(pafs.FileSelector(root)):
         if left.base_name.startswith("."):  # of attempts that failed
             store.delete_file(left.path)

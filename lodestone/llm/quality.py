@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import table
+from lodestone.llm.common import table, tidy
 
 MIN_WORDS, MAX_REPEATED, WINDOW, MAX_LOST = 20, 30, 8, 0.4
 #: Phrases of lines that are never prose, lower case.
@@ -116,7 +116,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cols = zip(*rows, strict=True) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), type=k) for c, k in zip(cols, kinds, strict=True))], names=[id_col, *names])
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(tidy(run), schema)
 
 
 def filter_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
@@ -129,7 +129,7 @@ def filter_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             texts = pa.array([clean(t.as_py()) for t in kept.column(at)], type=kept.schema.field(at).type)
             yield kept.set_column(at, kept.schema.field(at), texts)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

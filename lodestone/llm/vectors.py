@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import running, runs, table, written
+from lodestone.llm.common import running, runs, table, tidy, written
 from lodestone.llm.components import components
 
 COSINE, PASSES, BITS, BLOCK, WINDOW, PART, SEED = 0.98, 20, 32, 448, 64, 128, 11
@@ -53,7 +53,7 @@ def packed(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataF
                 rows = [None if v is None else v / np.abs(v).max() for v in rows]  # no square overflows or vanishes
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([0 if v is None else len(v) for v in rows], pa.int32()), pa.array([None if v is None else v.tobytes() for v in rows], pa.binary())], names=["id", "label", "dim", "v"])
 
-    return narrow.mapInArrow(run, "id bigint, label string, dim int, v binary")
+    return narrow.mapInArrow(tidy(run), "id bigint, label string, dim int, v binary")
 
 
 def signed(heads: DataFrame, passes: int, bits: int) -> DataFrame:
@@ -77,7 +77,7 @@ def signed(heads: DataFrame, passes: int, bits: int) -> DataFrame:
                     names=["pass", "sign", "label", "dim", "id"],
                 )
 
-    return heads.mapInArrow(run, "pass int, sign bigint, label string, dim int, id bigint")
+    return heads.mapInArrow(tidy(run), "pass int, sign bigint, label string, dim int, id bigint")
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -117,7 +117,7 @@ def block_links(blocks: DataFrame, cosine: float) -> DataFrame:
                 b += ids[lo + j[own]].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return blocks.mapInArrow(run, "a bigint, b bigint")
+    return blocks.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def counted(parts: DataFrame, cosine: float) -> DataFrame:
@@ -133,7 +133,7 @@ def counted(parts: DataFrame, cosine: float) -> DataFrame:
                 linked &= side[:, None] != side[None]
             yield pa.RecordBatch.from_arrays([ids.combine_chunks(), pa.array(linked @ c, pa.int64())], names=["id", "n"])
 
-    return parts.mapInArrow(run, "id bigint, n bigint")
+    return parts.mapInArrow(tidy(run), "id bigint, n bigint")
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, passes: int = PASSES) -> DataFrame:
