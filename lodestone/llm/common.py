@@ -122,6 +122,7 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+BATCH, ROWS_PER_BATCH = "1000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: What workers remember between tasks, by operator, and how to forget it.
 FORGET: dict[str, Callable[[], object]] = {}
 
@@ -130,7 +131,12 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ke
     """A function for mapInArrow, for workers that live for many tasks and operators.
 
     It begins by forgetting what operators other than `keeps` remember, and ends by giving Arrow's free memory back.
+    Where the session has Spark's default of 10,000 rows a batch, it gets BATCH: so many whole texts at a time would hold
+    tens of MB in the executor and in its worker.
     """
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(ROWS_PER_BATCH) == "10000":
+        spark.conf.set(ROWS_PER_BATCH, BATCH)
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, forget in FORGET.items():
