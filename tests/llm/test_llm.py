@@ -97,6 +97,16 @@ def test_quality_rules_hold_for_indented_and_long_lines():
     assert not fails(" It is indented prose, and it stays.") and not fails("It is long and it stays. " * 30)
 
 
+def test_quality_rules_in_four_languages():
+    fails = lambda line: quality.line_fails(line, quality.WORD.findall(line))
+    for line in ("Wir verwenden Cookies, um zu helfen.", "NOUS UTILISONS DES COOKIES ICI", "Aceptar todas las cookies por favor", "Home › News › Mail › Shop", "Share Tweet Email", "Teilen, Drucken, Facebook", "© 2019 The Town Hall", "Copyright (c) 2021 by us", "It is ours, all rights reserved.", "12 34 56 %"):
+        assert fails(line), line
+    for line in ("They share bread and wine.", "The copyright of 1709 was the first of its kind.", "He said 12 or 34.", "All rights reserved for members are listed here.", "日本語 の 文"):
+        assert not fails(line), line
+    text = "It is prose, and it stays.\n\nWe use cookies here.\nThe end."
+    assert quality.clean(text) == "It is prose, and it stays.\n\nThe end."
+
+
 def test_kept_documents_lose_failing_lines(spark):
     made = [(1, "A | B | C | D | E\n" + "It is prose that stays. " * 2 + " ".join(f"w{k}" for k in range(20)), None, None, 999)]
     docs = spark.createDataFrame(made, "doc_id bigint, text string, lang string, source string, n_chars bigint")
@@ -496,11 +506,11 @@ def test_pipeline(docs, spark, tmp_path):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     start = docs.select(columns).filter("doc_id is not null").dropDuplicates(["doc_id"])
     one = common.written(stages["quality_rules"](spark, start, SF))
-    assert {r.doc_id for r in one.collect()} == {i for i, t, *_ in rows() if i is not None and quality.judge(t)[-1]}
+    assert {r.doc_id for r in one.collect()} == {i for i, t, *_ in rows() if i is not None and quality.judge(t)[-2]}
     two = common.written(stages["line_dedup"](spark, one, SF))
     assert two.columns == columns and two.count() == one.count()
     texts_of = {r.doc_id: r.text for r in two.collect()}
-    judged = {i: quality.clean(t) for i, t, *_ in rows() if i is not None and quality.judge(t)[-1]}
+    judged = {i: quality.clean(t) for i, t, *_ in rows() if i is not None and quality.judge(t)[-2]}
     assert texts_of == plain_line_dedup(list(judged.items())) and all(r.n_chars == len(r.text) for r in two.collect())
     three = common.written(stages["near_duplicates"](spark, two, SF))
     sets = near_sets([(r.doc_id, r.text) for r in two.collect()])
