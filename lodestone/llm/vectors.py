@@ -1,24 +1,31 @@
 """Near-duplicate vectors by sorted projection passes.
 
 Vectors with the same label and length are compared. Equal ones are one class, pre-aggregated by a
-hash of their bytes. In each of PASSES passes every vector gets BITS signs of random projections, one
+hash of their bytes. In each pass every vector gets BITS signs of random projections, one
 after the other, as a number; all passes are sorted at once by (pass, label, length, number), numbered
 globally, and cut into blocks of BLOCK rows, each with the first WINDOW rows of the next one, so every
 vector meets at least its WINDOW successors in each pass and a block never depends on a key's size.
 Pairs in a block with cosine >= the threshold, in doubles, are links; a block passes on a spanning
 forest of them. Components join the forests of all passes. Last, the links of each vector are counted
-among all members of its component, in pairs of blocks of PART members.
+among all members of its component, in pairs of blocks of PART members, which copies a member once per
+block of its component.
 
-Two vectors at cosine 0.98 differ in a sign with probability 0.064, so they agree on the first dozen
-signs nearly half the time; more passes find more, at a cost in proportion.
+Projections are taken from the mean of all unit vectors (one vector per length comes to the driver), else
+vectors that lean one way would share most signs. Against the mean, a pair at the threshold has the cosine
+1 - (1 - threshold) / r, r the mean squared distance from the mean, and agrees in a sign with probability
+p = 1 - angle / pi. The largest group of rows per label needs about b = log2(rows / (BLOCK / 2)) signs to be cut down to
+blocks, so one pass brings such a pair together with probability p ** b at least; there are as many passes as
+make the chance to miss it MISSED at most, so recall does not fall with the number of rows, and PASSES at least.
 
 Null, zero, or empty vectors, those with null or non-finite components, and null labels are linked
-with nothing. Rows with equal vectors and labels link each other, repeated rows included. Other
-columns are not read; an empty table gives an empty result.
+with nothing. Rows with equal vectors and labels link each other, repeated rows included. Equal numbers are
+ordered by id. Vectors have any length; an id with several vectors is one node with the links of all of them. Other
+columns are not read, so names cannot clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +36,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import running, runs, table, tidy, written
 from lodestone.llm.components import components
 
-COSINE, PASSES, BITS, BLOCK, WINDOW, PART, SEED = 0.98, 20, 32, 448, 64, 128, 11
+COSINE, PASSES, MISSED, BITS, BLOCK, WINDOW, PART, SEED = 0.98, 8, 0.001, 32, 448, 64, 128, 11
 
 
 def unit(packed: pa.ChunkedArray) -> np.ndarray:
@@ -56,7 +63,33 @@ def packed(df: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataF
     return narrow.mapInArrow(tidy(run), "id bigint, label string, dim int, v binary")
 
 
-def signed(heads: DataFrame, passes: int, bits: int) -> DataFrame:
+def centres(heads: DataFrame) -> dict[int, np.ndarray]:
+    """For each length of vectors the mean of their unit vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                part = batch.filter(pa.array(dims == dim))
+                total, d = unit(part.column("v")).sum(axis=0), int(dim)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(d, d, np.int32)), pa.array(np.arange(d, dtype=np.int32)), pa.array(total), pa.array(np.full(d, part.num_rows, np.int64))], names=["dim", "k", "total", "n"])
+
+    found = heads.select("dim", "v").mapInArrow(tidy(run), "dim int, k int, total double, n bigint").groupBy("dim", "k").agg((F.sum("total") / F.sum("n")).alias("mean")).collect()
+    out = {r.dim: np.zeros(r.dim) for r in found}
+    for r in found:
+        out[r.dim][r.k] = r.mean
+    return out
+
+
+def passes_for(rows: int, cosine: float, mean: np.ndarray) -> int:
+    """Passes after which a pair at the threshold is missed with probability MISSED at most."""
+    spread = max(1e-9, 1 - float(mean @ mean))
+    p = 1 - math.acos(max(-1.0, min(1.0, 1 - (1 - cosine) / spread))) / math.pi
+    met = max(p, 0.5) ** max(0.0, math.log2(max(rows, 1) / (BLOCK / 2)))
+    return PASSES if met >= 1 else max(PASSES, math.ceil(math.log(MISSED) / math.log1p(-met)))
+
+
+def signed(heads: DataFrame, means: dict[int, np.ndarray], passes: int, bits: int) -> DataFrame:
     """(pass, sign, label, dim, id) for each vector and pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +103,7 @@ def signed(heads: DataFrame, passes: int, bits: int) -> DataFrame:
                     planes[d] = np.random.default_rng([SEED, d]).standard_normal((d, passes * bits))
                 part = batch.filter(pa.array(dims == dim))
                 n = part.num_rows
-                sign = ((unit(part.column("v")) @ planes[d]) > 0).reshape(n, passes, bits) @ weights
+                sign = (((unit(part.column("v")) - means[d]) @ planes[d]) > 0).reshape(n, passes, bits) @ weights
                 at = np.repeat(np.arange(n), passes)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.tile(np.arange(passes, dtype=np.int32), n)), pa.array(sign.reshape(-1)), part.column("label").take(pa.array(at)), pa.array(np.full(n * passes, d, np.int32)), part.column("id").take(pa.array(at))],
@@ -136,13 +169,17 @@ def counted(parts: DataFrame, cosine: float) -> DataFrame:
     return parts.mapInArrow(tidy(run), "id bigint, n bigint")
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, passes: int = PASSES) -> DataFrame:
-    """Per input row: id_col, n_links, component_id, kept."""
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, passes: int | None = None) -> DataFrame:
+    """Per input row: id_col, n_links, component_id, kept. passes: as many as the rows ask for, if not given."""
     every = written(packed(df, id_col, vector_col, label_col).withColumn("h", F.when(F.col("v").isNotNull(), F.md5("v"))))
     classes = written(every.filter("h is not null").groupBy("label", "h").agg(F.min("id").alias("rep"), F.count("*").alias("c")))
     mine = every.join(classes.select(F.col("label").alias("l"), F.col("h").alias("hh"), "rep", "c"), (F.col("h") == F.col("hh")) & (F.col("label") == F.col("l")) & (F.col("id") == F.col("rep")))
-    heads = written(mine.select("id", "label", "dim", "c", "v").dropDuplicates(["id", "label"]))
-    ordered = running(signed(heads, passes, BITS).withColumn("one", F.lit(1)), ["pass", "label", "dim", "sign", "id"], "one").drop("one", "before", "sign")
+    heads = written(mine.select("id", "label", "dim", "c", "v").dropDuplicates(["id", "label", "v"]))
+    means = centres(heads)
+    if passes is None:
+        largest = heads.groupBy("label", "dim").agg(F.count("*").alias("n")).groupBy("dim").agg(F.max("n").alias("n")).collect()
+        passes = max([passes_for(r.n, cosine, means[r.dim]) for r in largest], default=PASSES)
+    ordered = running(signed(heads, means, passes, BITS).withColumn("one", F.lit(1)), ["pass", "label", "dim", "sign", "id"], "one").drop("one", "before", "sign")
     block = F.floor(F.col("row_no") / BLOCK)
     both = F.when((F.col("row_no") % BLOCK < WINDOW) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
     dealt = ordered.withColumn("block", F.explode(both)).join(heads.select("id", "label", "v"), ["id", "label"])

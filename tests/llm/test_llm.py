@@ -369,6 +369,34 @@ def test_vectors(spark):
     assert vectors.near_vectors(df.filter("false")).count() == 0
 
 
+def test_vectors_recall_does_not_fall_with_rows(spark):
+    """120,000 vectors that lean one way (mean cosine 0.9), with planted pairs just above the threshold."""
+    rng, n, d, planted = np.random.default_rng(9), 120_000, 32, 1500
+    lean = rng.standard_normal(d)
+    lean /= np.linalg.norm(lean)
+    x = rng.standard_normal((n, d))
+    x -= np.outer(x @ lean, lean)
+    x = math.sqrt(0.9) * lean + math.sqrt(0.1) * x / np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(planted):  # at cosine 0.981
+        step = rng.standard_normal(d)
+        step -= (step @ x[k]) * x[k]
+        x[n - 1 - k] = 0.981 * x[k] + math.sqrt(1 - 0.981**2) * step / np.linalg.norm(step)
+    label = np.arange(n) % 2
+    label[n - planted :] = label[:planted][::-1]
+    x = x.astype(np.float32).astype(np.float64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.zeros(n, np.int64)
+    for lab in (0, 1):
+        at = np.flatnonzero(label == lab)
+        for lo in range(0, len(at), 2000):
+            near = unit[at[lo : lo + 2000]] @ unit[at].T >= 0.98
+            want[at[lo : lo + 2000]] = near.sum(axis=1) - 1
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.array(list(x.astype(np.float32))), "label": pa.array(label)}))
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(df).filter("n_links > 0").collect()}
+    assert all(want[i] >= c for i, c in got.items())
+    assert sum(got.values()) / want.sum() >= 0.98 and want.sum() >= 2 * planted
+
+
 def test_urls(spark):
     made = [(0, None), (1, ""), (2, "no scheme"), (3, "HTTP://WWW.Example.COM/en/A?b"), (4, "http://x.example.com/en/1"), (5, "http://a.net/fr/2#x"), (6, "http://a.net"), (7, "https://mycom/en/"), (8, "a://b.com"), (9, "a://b.com/?q://z.net/fr/"), (9, "a://b.com/?q://z.net/fr/"), (10, "http://é.org/日本")]
     got = {r.page_id: r for r in urls.filter_urls(spark.createDataFrame(made, "page_id bigint, url string")).collect()}
