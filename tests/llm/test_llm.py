@@ -220,6 +220,49 @@ def test_license_gate_admits_every_rule(spark):
         assert r.labels == plain_licenses(samples[r.doc_id])[5] != ""
 
 
+def samples_of(pattern):
+    """Texts that a rule's pattern matches, one for each branch of its groups."""
+    import re._parser as parser
+
+    def walk(items):
+        out = [""]
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                more = [chr(arg)]
+            elif name == "IN":
+                kind, first = arg[0][0], arg[0][1]
+                more = ["q" if str(kind) == "NEGATE" else chr(first[0] if isinstance(first, tuple) else first)]
+            elif name == "NOT_LITERAL":
+                more = ["q"]
+            elif name == "MAX_REPEAT":
+                low, _, inner = arg
+                more = [x * max(low, 1) for x in walk(inner)] + ([""] if low == 0 else [])
+            elif name == "SUBPATTERN":
+                more = walk(arg[3])
+            elif name == "BRANCH":
+                more = [x for b in arg[1] for x in walk(b)]
+            elif name == "ASSERT":
+                more = ["\0" + x for x in walk(arg[1])]
+            else:
+                more = [""]
+            out = [a + b for a in out for b in more][:40]
+        return out
+
+    for x in walk(parser.parse(pattern)):
+        head, _, ahead = x.partition("\0")
+        yield head + ahead
+
+
+def test_license_gate_and_keyword_admit_a_text_of_every_branch(spark):
+    """Whatever a rule can match passes the gate, holds the rule's keyword and gets a label."""
+    items = [(k, " ".join(x.split())) for k, r in enumerate(licenses.RULES) for x in samples_of(r[4]) if re.search(r[4], " " + "  ".join(x.split()) + " ")]
+    assert {k for k, _ in items} == set(range(len(licenses.RULES)))
+    assert all(f" {licenses.RULES[k][3]} " in f" {x} " for k, x in items)
+    got = licenses.scan(spark.createDataFrame(items, "doc_id bigint, text string")).filter("labels = ''").collect()
+    assert not got, [licenses.RULES[r.doc_id] for r in got][:5]
+
+
 def test_license_keywords_hold_for_every_branch(spark):
     df = spark.createDataFrame([(0, "MIT No Attribution"), (1, "the library general public license version 2")], "doc_id bigint, text string")
     got = {r.doc_id: r.labels for r in licenses.scan(df).collect()}
