@@ -7,14 +7,15 @@ odd sketch: every (position, value) flips one of BITS bits, so the bits in which
 the differing values modulo collisions, and their number estimates a high similarity far better than the
 shared buckets do. Pairs whose sketches may reach the threshold are candidates.
 
-Candidates are compared in rounds. In each, a bucket is cut into blocks of about BLOCK members, and every
-member names its nearest candidates of other components, `most` of them at most; each named pair is confirmed
-on the words of both texts, and only confirmed links unite. The first round compares each block with itself
-and with the bucket's least member, which is linear in the bucket. Later rounds take only buckets that are
-not done and have members of several components, compare every pair of blocks, and name WIDER times as many;
-the last one is the one in which nobody had more candidates to name. So no pair of candidates in different
-components is left unchecked, no group emits all its pairs while its links are found, and no text and
-no set is copied per block: blocks hold ids, sizes and sketches.
+Candidates are compared in rounds; a bucket is cut into blocks of about BLOCK members, each named pair is
+confirmed on the words of both texts, and only confirmed links unite. The first round takes every document in the
+largest of its buckets alone, compares each block with itself and with the least of the bucket, and names a
+least spanning forest of the block's candidates: fewer pairs than members. The next round takes the buckets that still
+have members of several components, compares every pair of blocks, and every member outside the block's largest
+component names its nearest candidates of other components, MOST of them at most. While a member has more
+than that, its bucket goes into another round that names WIDER times as many. So no pair of candidates in
+different components is left unchecked, a large group is joined by a forest and never emits all its pairs, and no text
+and no set is copied per block: blocks hold ids, sizes and sketches.
 
 With bands of 5 in 25, a pair at the threshold of 0.85 shares no bucket once in two million. A sketch
 of 512 values errs by about 0.018 (standard deviation) at 0.85; candidates are pairs down to four of those
@@ -131,30 +132,51 @@ def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return narrow.mapInArrow(tidy(run, "neardup"), "id bigint, h1 bigint, h2 bigint, n bigint, keys array<bigint>, sketch binary")
 
 
-def compare(ids: np.ndarray, n: np.ndarray, component: np.ndarray, sketch: np.ndarray, left: np.ndarray, right: np.ndarray, most: int, percent: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """For each row of `left` its nearest `most` candidates of other components in `right`, as two arrays of ids; whether some row has more."""
+def distances(n: np.ndarray, component: np.ndarray, sketch: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """Differing sketch bits of rows of left and right, and the most that a candidate may have; other pairs have more."""
     near = differing(max(0.0, percent / 100 - 4 * ERROR))
-    a, b, more = [], [], False
+    out = np.empty((len(left), len(right)), np.int32)
     for at in range(0, len(left), 64):
         x = left[at : at + 64]
-        z = np.bitwise_count(sketch[x][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int64)
+        z = np.bitwise_count(sketch[x][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int32)
         low, high = np.minimum(n[x][:, None], n[right][None]), np.maximum(n[x][:, None], n[right][None])
         z[(100 * low < percent * high) | (component[x][:, None] == component[right][None])] = near + 1
-        good = z <= near
-        crowded = np.flatnonzero(good.sum(axis=1) > most)
-        if len(crowded):
-            more = True
-            # By distance, then id.
-            order = np.lexsort((np.broadcast_to(ids[right], (len(crowded), len(right))), z[crowded]), axis=1)[:, :most]
-            good[crowded] = False
-            good[crowded[:, None], order] = True
-        i, j = np.nonzero(good)
-        a.append(ids[x[i]]), b.append(ids[right[j]])
-    return np.concatenate(a), np.concatenate(b), more
-
-
-def candidates(grouped: DataFrame, most: int, percent: int) -> DataFrame:
-    """grouped: (key, i, j, side, id, n, component, sketch) in the order of key, i, j within each partition. Pairs (a, b) with a below b, and for each key of which a row has more than `most` candidates a row with that key alone."""
+        out[at : at + 64] = z
+    return out, near
+
+
+def forest(z: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """A least spanning forest of the pairs with distances up to `near`, grown from row 0 on."""
+    m = len(z)
+    best, parent, out = np.full(m, near + 1, z.dtype), np.zeros(m, np.int64), []
+    waiting, now = np.ones(m, bool), 0
+    for _ in range(m - 1):
+        waiting[now] = False
+        closer = waiting & (z[now] < best)
+        best[closer], parent[closer] = z[now][closer], now
+        now = int(np.where(waiting, best, near + 2).argmin())
+        if best[now] <= near:
+            out.append((parent[now], now))
+    return tuple(np.array(out, np.int64).reshape(-1, 2).T)
+
+
+def nearest(z: np.ndarray, near: int, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Row and column of each row's `most` nearest candidates, by distance and then id; whether some row has more."""
+    good = z <= near
+    crowded = np.flatnonzero(good.sum(axis=1) > most)
+    if len(crowded):
+        order = np.lexsort((np.broadcast_to(ids, (len(crowded), len(ids))), z[crowded]), axis=1)[:, :most]
+        good[crowded] = False
+        good[crowded[:, None], order] = True
+    return *np.nonzero(good), bool(len(crowded))
+
+
+def candidates(grouped: DataFrame, most: int | None, percent: int) -> DataFrame:
+    """grouped: (key, i, j, side, id, n, component, sketch) in the order of key, i, j within each partition.
+
+    Pairs (a, b) with a below b: a forest of each block if `most` is None, else the nearest ones; and for each key of
+    which a row has more than `most` candidates a row with that key alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, ["key", "i", "j"]):
@@ -164,13 +186,22 @@ def candidates(grouped: DataFrame, most: int, percent: int) -> DataFrame:
             ids, n, component, side = (rows.column(c).to_numpy() for c in ("id", "n", "component", "side"))
             sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(m, BITS // 64)
             key, i, j = (rows.column(c)[0].as_py() for c in ("key", "i", "j"))
-            left, right = (np.arange(m),) * 2 if i == j else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-            if not len(left) or not len(right):
-                continue
-            a, b, more = compare(ids, n, component, sketch, left, right, most, percent)
-            if i != j:
-                c, d, more_too = compare(ids, n, component, sketch, right, left, most, percent)
-                a, b, more = np.concatenate([a, c]), np.concatenate([b, d]), more or more_too
+            every, more, named = np.arange(m), False, []
+            if most is None:
+                a, b = forest(*distances(n, component, sketch, every, every, percent))
+                named.append((ids[a], ids[b]))
+            else:
+                kinds, of = np.unique(component, return_inverse=True)
+                if len(kinds) == 1:
+                    continue
+                speaks = of != np.bincount(of).argmax()
+                for left, right in ((every, every),) if i == j else ((every[side == 0], every[side == 1]), (every[side == 1], every[side == 0])):
+                    left = left[speaks[left]]
+                    z, near = distances(n, component, sketch, left, right, percent)
+                    a, b, cut = nearest(z, near, ids[right], most)
+                    named.append((ids[left[a]], ids[right[b]]))
+                    more |= cut
+            a, b = (np.concatenate(x) for x in zip(*named, strict=True))
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             k = pairs.shape[1]
             if k:
@@ -237,28 +268,27 @@ def links_of(heads: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     shared = scratch(met.groupBy("c", "least", "x", "y").agg(F.min("key").alias("key")).select("key", "c", "least"))
     members = scratch(held.join(shared.hint("merge"), "key"))
     narrow = heads.select("id", "n", "sketch")
-    open_, found, links, most, first = members, None, None, MOST, True
+    own = members.groupBy("id").agg(F.max(F.struct("c", "key")).alias("own")).select("id", F.col("own.key").alias("key"))
+    own = scratch(own)
+    met = own.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("least")).filter("c > 1")
+    here = own.join(met.hint("merge"), "key").join(narrow.hint("merge"), "id").withColumn("component", F.col("id"))
+    links = confirmed(scratch(candidates(blocked(here, True), None, percent).select("a", "b").distinct()), texts, percent)
+    open_, found, most = members, scratch(components(links)), MOST
     while True:
-        if found is None:
-            now = open_.join(narrow.hint("merge"), "id").withColumn("component", F.col("id"))
-        else:
-            labelled = scratch(open_.join(found.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")))
-            several = scratch(labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"))
-            if several.isEmpty():
-                break
-            now = labelled.join(several.hint("merge"), "key", "left_semi").join(narrow.hint("merge"), "id")
-        out = scratch(candidates(blocked(now, first), most, percent))
+        labelled = scratch(open_.join(found.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+        several = scratch(labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key"))
+        if several.isEmpty():
+            break
+        now = labelled.join(several.hint("merge"), "key", "left_semi").join(narrow.hint("merge"), "id")
+        out = scratch(candidates(blocked(now, False), most, percent))
         new = confirmed(scratch(out.filter("a is not null").select("a", "b").distinct()), texts, percent)
-        links = scratch(new if links is None else links.unionByName(new))
+        links = scratch(links.unionByName(new))
         found = scratch(components(links))
-        cut = out.filter("key is not null").select("key")
-        if first:
-            cut = cut.union(open_.filter(F.col("c") > BLOCK).select("key"))
-        cut = scratch(cut.distinct())
+        cut = scratch(out.filter("key is not null").select("key").distinct())
         if cut.isEmpty():
             break
         open_ = scratch(members.join(cut.hint("merge"), "key", "left_semi"))
-        most, first = most * WIDER, False
+        most *= WIDER
     result = written(found)
     scratch.clear()
     return result
