@@ -6,7 +6,7 @@ before it. Those states depend on the prefix alone, so the distinct words of a b
 trie (kept as the sorted word list: the common prefix of two neighbours is the branch they share)
 and a depth-first walk computes the states of each shared prefix once.
 
-Texts are taken in groups of about GROUP characters. Arrow cuts them before single spaces and numbers
+Texts are taken in groups of about GROUP bytes. Arrow cuts them before single spaces and numbers
 the distinct pieces; only those come to Python, and those not remembered go through the trie. Token ids,
 the decimal ids and the decoded bytes of all texts are then gathered from the distinct pieces by number.
 Texts in which white space meets a space, or that hold a special token, are cut by the pattern instead.
@@ -39,8 +39,10 @@ from lodestone.llm.common import FORGET, table, tidy
 CACHE = 100_000
 #: Longer words are not remembered.
 LONG = 256
-#: Characters of texts taken at a time.
-GROUP = 4_000_000
+#: Bytes of texts taken at a time.
+GROUP = 10_000_000
+#: Texts of a batch that is given back.
+OUT = 2000
 FIELDS = {"n_tokens": "bigint", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 #: Fixed values of byte-level BPE: how a text is cut before merging, where the file does not name its own pattern.
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -337,15 +339,28 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def groups(texts: pa.Array) -> Iterator[tuple[int, pa.StringArray]]:
-    """Slices of about GROUP characters, nulls as empty texts, each with its place."""
-    texts = pc.fill_null(texts, "")
-    at = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
-    lo, n = 0, len(texts)
-    while lo < n:
-        hi = min(n, max(lo + 1, int(np.searchsorted(at, at[lo] + GROUP))))
-        yield lo, texts.slice(lo, hi - lo)
-        lo = hi
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.StringArray]]:
+    """The first column and the texts of the second, nulls as empty ones, by about GROUP bytes of text whatever the batches."""
+    held, size = [], 0
+
+    def done() -> tuple[pa.Array, pa.StringArray]:
+        ids, texts = zip(*held, strict=True)
+        return pa.concat_arrays(ids), pa.concat_arrays(texts)
+
+    for batch in batches:
+        texts = pc.fill_null(batch.column(1), "")
+        at = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
+        lo, n = 0, len(texts)
+        while lo < n:
+            hi = min(n, max(lo + 1, int(np.searchsorted(at, at[lo] + GROUP - size))))
+            held.append((batch.column(0).slice(lo, hi - lo), texts.slice(lo, hi - lo)))
+            size += int(at[hi] - at[lo])
+            lo = hi
+            if size >= GROUP:
+                yield done()
+                held, size = [], 0
+    if held:
+        yield done()
 
 
 def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", fields: tuple[str, ...] = ("n_tokens", "ids")) -> DataFrame:
@@ -374,11 +389,11 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = received(name)
-        for batch in batches:
-            for at, texts in groups(batch.column(1)):
-                group = bpe.encode(texts)
-                pa.default_memory_pool().release_unused()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *(column(group, f) for f in fields)], names=[id_col, *fields])
+        for ids, texts in groups(batches):
+            group = bpe.encode(texts)
+            pa.default_memory_pool().release_unused()
+            made = pa.RecordBatch.from_arrays([ids, *(column(group, f) for f in fields)], names=[id_col, *fields])
+            yield from (made.slice(lo, OUT) for lo in range(0, len(made), OUT))  # a group may hold very many short texts
 
     return narrow.mapInArrow(tidy(run, "bpe"), schema)
 

@@ -120,9 +120,8 @@ def write_shards(df: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, n = ids_of(SparkFiles.get(name), special), 0
-        for batch in batches:
-            for _, texts in groups(batch.column(1)):
-                n += sum([len(x) // length + 1 for x in ids.encode(texts)])
+        for _, texts in groups(batches):
+            n += sum([len(x) // length + 1 for x in ids.encode(texts)])
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
 
     counts = {r.part: r.n for r in narrow.mapInArrow(tidy(count, "order"), "part int, n bigint").collect()}
@@ -134,15 +133,14 @@ def write_shards(df: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id"
         ids, part = ids_of(SparkFiles.get(name), special), TaskContext.get().partitionId()
         at, stop = starts[part], starts[part] + counts[part]
         stride = length * ids.kind.itemsize
-        for batch in batches:
-            for lo, texts in groups(batch.column(1)):
-                made, owner, size = cut(ids.encode(texts), length, ids.end, ids.kind)
-                n = len(made)
-                slots = permuted(np.arange(at, at + n), total, key)
-                at += n
-                place = np.arange(n) - np.searchsorted(owner, owner)
-                data = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * stride).astype(np.int32)), pa.py_buffer(made)])
-                yield pa.RecordBatch.from_arrays([pa.array(slots), batch.column(0).slice(lo, len(texts)).take(pa.array(owner)), pa.array(place, pa.int32()), pa.array(size, pa.int32()), data], names=["slot", "id", "part", "n_tokens", "data"])
+        for own, texts in groups(batches):
+            made, owner, size = cut(ids.encode(texts), length, ids.end, ids.kind)
+            n = len(made)
+            slots = permuted(np.arange(at, at + n), total, key)
+            at += n
+            place = np.arange(n) - np.searchsorted(owner, owner)
+            data = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * stride).astype(np.int32)), pa.py_buffer(made)])
+            yield pa.RecordBatch.from_arrays([pa.array(slots), own.take(pa.array(owner)), pa.array(place, pa.int32()), pa.array(size, pa.int32()), data], names=["slot", "id", "part", "n_tokens", "data"])
         if at != stop:
             raise RuntimeError("the table changed between counting and writing")
 
