@@ -5,7 +5,9 @@ follows sees one document per class. Each has SAMPLES MinHash values of its shin
 ROWS of them give bucket keys; buckets with the same members are one. All the values are folded into an
 odd sketch: every (position, value) flips one of BITS bits, so the bits in which two sketches differ count
 the differing values modulo collisions, and their number estimates a high similarity far better than the
-shared buckets do. Pairs whose sketches may reach the threshold are candidates.
+shared buckets do. A second parity bitmap, of WHOLE bits, folds the whole set: two sets differ in at least as
+many shingles as their bitmaps do in bits, which refutes a pair for certain. Pairs whose sketches may reach the
+threshold and whose bitmaps do not refute them are candidates.
 
 Candidates are compared in rounds; a bucket is cut into blocks of about BLOCK members, each named pair is
 confirmed on the words of both texts, and only confirmed links unite. The first round takes every document in the
@@ -41,7 +43,7 @@ from lodestone.llm.common import FORGET, Scratch, bitmap, dropped, free, perhaps
 from lodestone.llm.components import components
 
 WORDS, PERCENT = 5, 85
-SAMPLES, BANDS, ROWS, BITS, BLOCK, MOST, WIDER = 512, 25, 5, 1024, 400, 4, 8
+SAMPLES, BANDS, ROWS, BITS, WHOLE, BLOCK, MOST, WIDER = 512, 25, 5, 1024, 2048, 400, 4, 8
 #: Standard error of a sketch's estimate at 0.85; candidates may lie four of them below the threshold.
 ERROR = 0.018
 _rng = np.random.default_rng(20240607)
@@ -96,6 +98,11 @@ def odd_sketch(least: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
 
 
+def whole_bitmap(items: np.ndarray) -> bytes:
+    at = items & np.uint64(WHOLE - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=WHOLE) & 1).astype(np.uint8)).tobytes()
+
+
 def band_keys(least: np.ndarray) -> np.ndarray:
     rows = least[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
@@ -126,7 +133,7 @@ def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 digest = xxhash.xxh3_128_intdigest(b" ".join(words))
                 h1.append((digest >> 64) - (1 << 63)), h2.append((digest & (1 << 64) - 1) - (1 << 63))
                 least = samples(items)
-                keys.append(band_keys(least)), sketches.append(odd_sketch(least))
+                keys.append(band_keys(least)), sketches.append(odd_sketch(least) + whole_bitmap(items))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], names=["id", "h1", "h2", "n", "keys", "sketch"])
 
     return narrow.mapInArrow(tidy(run, "neardup"), "id bigint, h1 bigint, h2 bigint, n bigint, keys array<bigint>, sketch binary")
@@ -135,12 +142,13 @@ def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def distances(n: np.ndarray, component: np.ndarray, sketch: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """Differing sketch bits of rows of left and right, and the most that a candidate may have; other pairs have more."""
     near = differing(max(0.0, percent / 100 - 4 * ERROR))
-    out = np.empty((len(left), len(right)), np.int32)
+    out, split = np.empty((len(left), len(right)), np.int32), BITS // 64
     for at in range(0, len(left), 64):
         x = left[at : at + 64]
-        z = np.bitwise_count(sketch[x][:, None, :] ^ sketch[right][None, :, :]).sum(axis=2, dtype=np.int32)
-        low, high = np.minimum(n[x][:, None], n[right][None]), np.maximum(n[x][:, None], n[right][None])
-        z[(100 * low < percent * high) | (component[x][:, None] == component[right][None])] = near + 1
+        z = np.bitwise_count(sketch[x][:, None, :split] ^ sketch[right][None, :, :split]).sum(axis=2, dtype=np.int32)
+        apart = np.bitwise_count(sketch[x][:, None, split:] ^ sketch[right][None, :, split:]).sum(axis=2, dtype=np.int64)
+        sizes = n[x][:, None] + n[right][None]
+        z[(apart * (100 + percent) > sizes * (100 - percent)) | (np.abs(n[x][:, None] - n[right][None]) * (100 + percent) > sizes * (100 - percent)) | (component[x][:, None] == component[right][None])] = near + 1
         out[at : at + 64] = z
     return out, near
 
@@ -184,7 +192,7 @@ def candidates(grouped: DataFrame, most: int | None, percent: int) -> DataFrame:
             if m < 2:
                 continue
             ids, n, component, side = (rows.column(c).to_numpy() for c in ("id", "n", "component", "side"))
-            sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(m, BITS // 64)
+            sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64).reshape(m, (BITS + WHOLE) // 64)
             key, i, j = (rows.column(c)[0].as_py() for c in ("key", "i", "j"))
             every, more, named = np.arange(m), False, []
             if most is None:
@@ -281,8 +289,10 @@ def links_of(heads: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             break
         now = labelled.join(several.hint("merge"), "key", "left_semi").join(narrow.hint("merge"), "id")
         out = scratch(candidates(blocked(now, False), most, percent))
-        new = confirmed(scratch(out.filter("a is not null").select("a", "b").distinct()), texts, percent)
-        links = scratch(links.unionByName(new))
+        named = scratch(out.filter("a is not null").select("a", "b").distinct())
+        if named.isEmpty():
+            break
+        links = scratch(links.unionByName(confirmed(named, texts, percent)))
         found = scratch(components(links))
         cut = scratch(out.filter("key is not null").select("key").distinct())
         if cut.isEmpty():

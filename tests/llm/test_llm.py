@@ -183,6 +183,15 @@ def test_sketch_estimates():
         assert neardup.differing(min(1, j + 5 * neardup.ERROR)) - 5 <= z <= neardup.differing(j - 5 * neardup.ERROR)
 
 
+def test_whole_bitmaps_never_refute_a_link():
+    rng = np.random.default_rng(3)
+    for size, gone in ((40, 3), (500, 40), (20_000, 1500)):
+        pool = rng.integers(0, 1 << 63, size + gone, dtype=np.uint64)
+        a, b = pool[:size], pool[gone:]
+        z = np.bitwise_count(np.frombuffer(neardup.whole_bitmap(a), np.uint64) ^ np.frombuffer(neardup.whole_bitmap(b), np.uint64)).sum()
+        assert z <= 2 * gone
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1100)]
