@@ -37,6 +37,8 @@ from lodestone.llm.common import FORGET, table, tidy
 
 #: Words after which a generation ends, and pairs of tokens that a worker remembers.
 CACHE = 100_000
+#: Tokens whose merge trees' edges a worker remembers, for each side.
+SPINES = 8_000
 #: Longer words are not remembered.
 LONG = 256
 #: Bytes of texts taken at a time.
@@ -103,6 +105,8 @@ class TrieBpe:
                 if (p := self.parts.get(node)) is None:
                     break
                 node, end = p[right], p[2]
+            if len(known) >= SPINES:
+                known.clear()
             out = known[token] = chain[::-1]
         return out
 
@@ -339,8 +343,8 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.StringArray]]:
-    """The first column and the texts of the second, nulls as empty ones, by about GROUP bytes of text whatever the batches."""
+def groups(batches: Iterator[pa.RecordBatch], most: int = GROUP) -> Iterator[tuple[pa.Array, pa.StringArray]]:
+    """The first column and the texts of the second, nulls as empty ones, by about `most` bytes of text whatever the batches."""
     held, size = [], 0
 
     def done() -> tuple[pa.Array, pa.StringArray]:
@@ -352,22 +356,22 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Str
         at = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))])
         lo, n = 0, len(texts)
         while lo < n:
-            hi = min(n, max(lo + 1, int(np.searchsorted(at, at[lo] + GROUP - size))))
+            hi = min(n, max(lo + 1, int(np.searchsorted(at, at[lo] + most - size))))
             held.append((batch.column(0).slice(lo, hi - lo), texts.slice(lo, hi - lo)))
             size += int(at[hi] - at[lo])
             lo = hi
-            if size >= GROUP:
+            if size >= most:
                 yield done()
                 held, size = [], 0
     if held:
         yield done()
 
 
-def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", fields: tuple[str, ...] = ("n_tokens", "ids")) -> DataFrame:
+def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", fields: tuple[str, ...] = ("n_tokens", "ids"), group_bytes: int = GROUP) -> DataFrame:
     """Encode each text and decode it again. Returns id_col and `fields`:
 
     n_tokens, ids (array<int>), decoded (the text of the ids), and SHA-256 digests of the ids joined
-    by commas and of the decoded text. A repeated row gives a repeated result; an empty table none.
+    by commas and of the decoded text. Larger groups share more work and need more memory in the worker. A repeated row gives a repeated result; an empty table none.
     """
     narrow = df.select(df[id_col], df[text_col].cast("string"))
     schema = f"`{id_col}` {narrow.schema[0].dataType.simpleString()}, " + ", ".join(f"{f} {FIELDS[f]}" for f in fields)
@@ -389,7 +393,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = received(name)
-        for ids, texts in groups(batches):
+        for ids, texts in groups(batches, group_bytes):
             group = bpe.encode(texts)
             pa.default_memory_pool().release_unused()
             made = pa.RecordBatch.from_arrays([ids, *(column(group, f) for f in fields)], names=[id_col, *fields])

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, lines, mixing, neardup, quality
 
+#: Bytes of texts encoded at a time: less than alone, as executors of a pipeline have done four stages before.
+GROUP_BYTES = 2_000_000
+
 
 def recounted(docs: DataFrame, like: DataFrame) -> DataFrame:
     """The columns of `like`, n_chars from the text."""
@@ -46,7 +49,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the token ids, and digests of the ids and of the text decoded from them."""
-    return bpe.encode_documents(docs, bpe.tokenizer_path(), fields=("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+    return bpe.encode_documents(docs, bpe.tokenizer_path(), fields=("n_tokens", "ids", "ids_sha256", "decoded_sha256"), group_bytes=GROUP_BYTES)
 
 
 STAGES = [
