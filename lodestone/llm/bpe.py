@@ -21,16 +21,14 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
-import os
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark import SparkFiles
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import FORGET, table, tidy
@@ -39,6 +37,8 @@ from lodestone.llm.common import FORGET, table, tidy
 CACHE = 100_000
 #: Tokens whose merge trees' edges a worker remembers, for each side.
 SPINES = 8_000
+#: Bytes of a tokenizer file at most: it is broadcast.
+FILE_MOST = 1 << 26
 #: Longer words are not remembered.
 LONG = 256
 #: Bytes of texts taken at a time.
@@ -61,11 +61,10 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class TrieBpe:
-    """Encoder and decoder of one tokenizer file."""
+    """Encoder and decoder of the content of one tokenizer file."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, data: bytes):
+        spec = json.loads(data)
         alphabet = byte_alphabet()
         as_bytes = lambda s: bytes(alphabet[c] for c in s)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -319,22 +318,30 @@ def own_pattern(spec: dict) -> str | None:
     return None
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> TrieBpe:
-    return TrieBpe(path)
+loaded: dict[bytes, TrieBpe] = {}
+FORGET["bpe"] = loaded.clear
 
 
-FORGET["bpe"] = encoder.cache_clear
+def from_content(data: bytes) -> TrieBpe:
+    """The encoder of a file's content, kept by the worker for the next task."""
+    if (key := hashlib.md5(data).digest()) not in loaded:
+        loaded.clear()
+        loaded[key] = TrieBpe(data)
+    return loaded[key]
 
 
-def shipped(spark: SparkSession, path: str) -> str:
-    """Send a tokenizer file to the executors; returns the name under which `received` opens it there."""
-    spark.sparkContext.addFile(path)
-    return os.path.basename(path)
+def encoder(path: str) -> TrieBpe:
+    with open(path, "rb") as f:
+        return from_content(f.read())
 
 
-def received(name: str) -> TrieBpe:
-    return encoder(SparkFiles.get(name))
+def shipped(spark: SparkSession, path: str) -> Broadcast[bytes]:
+    """The content of a tokenizer file, for executors: a few MB, whatever the input. Files there need no copy of it."""
+    with open(path, "rb") as f:
+        data = f.read()
+    if len(data) > FILE_MOST:
+        raise ValueError(f"{path} is no vocabulary file: {len(data)} bytes")
+    return spark.sparkContext.broadcast(data)
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -375,7 +382,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """
     narrow = df.select(df[id_col], df[text_col].cast("string"))
     schema = f"`{id_col}` {narrow.schema[0].dataType.simpleString()}, " + ", ".join(f"{f} {FIELDS[f]}" for f in fields)
-    name = shipped(df.sparkSession, path)
+    sent = shipped(df.sparkSession, path)
     digest = lambda data: hashlib.sha256(data).hexdigest()
 
     def column(group: Group, field: str) -> pa.Array:
@@ -392,7 +399,7 @@ def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
         return pa.array(group.decoded(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = received(name)
+        bpe = from_content(sent.value)
         for ids, texts in groups(batches, group_bytes):
             group = bpe.encode(texts)
             pa.default_memory_pool().release_unused()

@@ -21,15 +21,15 @@ other than the id and the text are not read. An empty table has no shards.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark import SparkFiles, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,11 +72,10 @@ def permuted(numbers: np.ndarray, n: int, key: int = KEY, back: bool = False) ->
 class Ids:
     """Ids of texts by a file of ranks, special tokens as op8 knows them included."""
 
-    def __init__(self, path: str, special: tuple[str, ...]):
+    def __init__(self, data: bytes, special: tuple[str, ...]):
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
         #: The mark after each text: the first special token, or the first free id.
         self.end = max(ranks.values()) + 1
         self.kind = np.dtype("<u2" if self.end + len(special) < 1 << 16 else "<u4")
@@ -87,12 +86,16 @@ class Ids:
         return [own(t, allowed_special="all") for t in texts.to_pylist()]
 
 
-@lru_cache(maxsize=2)
-def ids_of(path: str, special: tuple[str, ...]) -> Ids:
-    return Ids(path, special)
+loaded: dict[tuple, Ids] = {}
+FORGET["order"] = loaded.clear
 
 
-FORGET["order"] = ids_of.cache_clear
+def ids_of(data: bytes, special: tuple[str, ...]) -> Ids:
+    """Of a file's content, kept by the worker for the next task."""
+    if (key := (hashlib.md5(data).digest(), special)) not in loaded:
+        loaded.clear()
+        loaded[key] = Ids(data, special)
+    return loaded[key]
 
 
 def cut(encoded: list[np.ndarray], length: int, end: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,10 +119,10 @@ def write_shards(df: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id"
     """Write the shards and index.json to the folder `out`; returns (slot, id_col, part, n_tokens, crc32, shard, place), a row per sequence."""
     narrow = df.select(df[id_col].cast("bigint").alias("id"), df[text_col].cast("string").alias("text"))
 
-    name = shipped(df.sparkSession, tokenizer)
+    sent = shipped(df.sparkSession, tokenizer)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, n = ids_of(SparkFiles.get(name), special), 0
+        ids, n = ids_of(sent.value, special), 0
         for _, texts in groups(batches):
             n += sum([len(x) // length + 1 for x in ids.encode(texts)])
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
@@ -130,7 +133,7 @@ def write_shards(df: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id"
         starts[part], total = total, total + counts[part]
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, part = ids_of(SparkFiles.get(name), special), TaskContext.get().partitionId()
+        ids, part = ids_of(sent.value, special), TaskContext.get().partitionId()
         at, stop = starts[part], starts[part] + counts[part]
         stride = length * ids.kind.itemsize
         for own, texts in groups(batches):
@@ -168,7 +171,7 @@ def write_shards(df: DataFrame, tokenizer: str, out: str, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(sums, pa.int64()), pa.array(shards, pa.int32()), pa.array(places, pa.int32())], names=["slot", "id", "part", "n_tokens", "crc32", "shard", "place"])
         close()
 
-    here = ids_of(tokenizer, special)
+    here = ids_of(sent.value, special)
     store, root = stored(out)
     store.create_dir(root)
     with store.open_output_stream(f"{root}/index.json") as f:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import bpe, lines, mixing, neardup, quality
 
 #: Bytes of texts encoded at a time: less than alone, as executors of a pipeline have done four stages before.
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 3_000_000
 
 
 def recounted(docs: DataFrame, like: DataFrame) -> DataFrame:

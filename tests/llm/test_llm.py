@@ -507,7 +507,7 @@ def test_bpe_equals_the_library(docs, empty):
         assert (r.n_tokens, r.ids) == (len(ids), ids) and text == (t or "")
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert bpe.encode_documents(empty, path).count() == 0
-    one = bpe.TrieBpe(path)
+    one = bpe.encoder(path)
     rng = random.Random(8)
     odd = ["".join(rng.choice("ab \n\t'sé😀1 \x1c.,th eing<|endoftext|>") for _ in range(rng.randrange(60))) for _ in range(3000)] + [b.decode() for b in list(one.ids)[::7] if b.decode("utf-8", "ignore").encode() == b]
     want = [e.ids for e in lib.encode_batch(odd, add_special_tokens=False)]
