@@ -201,7 +201,11 @@ def scan_code(files: DataFrame, selected: list[str] | None = None) -> DataFrame:
                 for name, check in active.items():
                     if name == "reflect_metadata_missing" and file != first:
                         continue
-                    for line in check(tokens, file):
+                    try:
+                        places = check(tokens, file)
+                    except (IndexError, ValueError, KeyError, RecursionError):  # one broken file does not stop the others
+                        continue
+                    for line in places:
                         flat = lines[line - 1].replace("\r", "").strip().replace("\t", "    ")
                         rows.append((name, SEVERITY[name], RANK[SEVERITY[name]], file, line, flat if len(flat) <= 120 else flat[:119] + "…"))
             yield pd.DataFrame(rows, columns=["check", "severity", "rank", "file", "line", "excerpt"])

@@ -77,6 +77,11 @@ def collisions(chunks: DataFrame, state: DataFrame) -> DataFrame:
     return chunks.join(owned, "id").filter("file <> owner").select("file").distinct()
 
 
+def failed(changed: DataFrame, clashes: DataFrame) -> DataFrame:
+    """files with status, those of `clashes` (see collisions) failed instead of indexed: they alone."""
+    return changed.join(clashes.select(F.col("file").alias("_f")).distinct(), F.col("file") == F.col("_f"), "left").withColumn("status", F.when((F.col("status") == "indexed") & F.col("_f").isNotNull(), "failed").otherwise(F.col("status"))).drop("_f")
+
+
 def tracked(files: DataFrame) -> DataFrame:
     """The state row of each file."""
     return files.select("file", "mtime", content_hash(F.col("content")).alias("content_hash"))
@@ -85,7 +90,7 @@ def tracked(files: DataFrame) -> DataFrame:
 def statistics(changed: DataFrame) -> DataFrame:
     """One row with the number of files by outcome."""
     is_ = lambda s: F.count_if(F.col("status") == s)
-    return changed.agg(F.count("*").alias("files_scanned"), is_("indexed").alias("files_indexed"), is_("unchanged").alias("files_unchanged"), is_("skipped").alias("files_skipped"), F.lit(0).cast("bigint").alias("files_failed"))
+    return changed.agg(F.count("*").alias("files_scanned"), is_("indexed").alias("files_indexed"), is_("unchanged").alias("files_unchanged"), is_("skipped").alias("files_skipped"), is_("failed").alias("files_failed"))
 
 
 def drift(state: DataFrame, disk: DataFrame) -> DataFrame:

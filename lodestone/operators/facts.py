@@ -7,6 +7,7 @@ middleware and guards of the groups around them, the outermost first.
 
 from __future__ import annotations
 
+import contextlib
 import json
 from collections.abc import Iterator
 
@@ -162,12 +163,18 @@ def entities(tokens: list[Token]) -> Iterator[tuple[int, str, dict]]:
         yield tokens[at].line, name, {"table": args[0] if args and isinstance(args[0], str) else None, "columns": columns, "relations": relations, "hooks": hooks}
 
 
-def events(tokens: list[Token]) -> Iterator[tuple[int, str, dict]]:
+def own_names(tokens: list[Token]) -> dict:
+    """Classes of a file and their event names."""
     named = {}
     for name, _, body in class_list(tokens):
         for _, i, method in members(tokens, body):
             if tokens[i].text == "EVENT_NAME" and not method and tokens[i + 1].text == "=":
                 named[name] = literal(tokens, i + 2, i + 3)
+    return named
+
+
+def events(tokens: list[Token]) -> Iterator[tuple[int, str, dict]]:
+    named = own_names(tokens)
     for name, opening in calls(tokens):
         word = tokens[name].text
         side = {"subscribe": "subscriber", "EventListener": "subscriber", "emit": "emitter", "dispatch": "emitter"}.get(word)
@@ -258,13 +265,40 @@ def facts(files: DataFrame, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
         for pdf in batches:
             rows = []
             for file, text in zip(pdf["file"], pdf["text"], strict=True):
-                tokens = tokenize(text or "")
-                rows += [(k, file, line, name, json.dumps(detail)) for k in kinds for line, name, detail in KINDS[k](tokens)]
+                try:
+                    tokens = tokenize(text or "")
+                    rows += [(k, file, line, name, json.dumps(detail)) for k in kinds for line, name, detail in KINDS[k](tokens)]
+                except (IndexError, ValueError, KeyError, RecursionError) as e:  # one broken file does not stop the others
+                    rows.append(("failed", file, 0, type(e).__name__, "{}"))
             yield pd.DataFrame(rows, columns=["kind", "file", "line", "name", "detail"])
 
     return files.select("file", "text").mapInPandas(run, "kind string, file string, line int, name string, detail string")
 
 
+def event_names(files: DataFrame) -> DataFrame:
+    """(file, text) to (class, event): classes with an event name of their own; the first file's counts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for file, text in zip(pdf["file"], pdf["text"], strict=True):
+                with contextlib.suppress(IndexError, ValueError, KeyError, RecursionError):  # facts lists such files
+                    rows += [(file, name, event) for name, event in own_names(tokenize(text or "")).items() if isinstance(event, str)]
+            yield pd.DataFrame(rows, columns=["file", "class", "event"])
+
+    found = files.select("file", "text").mapInPandas(run, "file string, class string, event string")
+    return found.groupBy("class").agg(F.min_by("event", "file").alias("event"))
+
+
+def events_across(files: DataFrame) -> DataFrame:
+    """Facts of kind event; an emitted class takes the event name it has in any file."""
+    found = facts(files, ("event",))
+    owner = F.when(F.get_json_object("detail", "$.resolved") == "false", F.get_json_object("detail", "$.class"))
+    joined = found.withColumn("_class", owner).join(event_names(files).select(F.col("class").alias("_class"), F.col("event").alias("_event")), "_class", "left")
+    detail = F.when(F.col("_event").isNotNull(), F.regexp_replace("detail", '"resolved": false', '"resolved": true')).otherwise(F.col("detail"))
+    return joined.select("kind", "file", "line", F.coalesce("_event", "name").alias("name"), detail.alias("detail"))
+
+
 def config_value(found: DataFrame, key: str) -> DataFrame:
     """(file, value) at a dotted key of each config, as JSON; a key that is not there, or beyond what was evaluated, has none."""
     path = "$.value" + "".join(f"['{part}']" for part in key.split(".") if part)

@@ -43,12 +43,17 @@ def resolved(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder of spark.checkpoint.dir; a temporary one only where none is set."""
+    """Cut lineage in the folder of spark.checkpoint.dir; a temporary one only on one machine where none is set."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="lodestone-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -92,10 +94,47 @@ def requirement_ids(lines: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.min_by(F.struct("file", "line"), F.struct("file_order", "line")).alias("s")).select("id", "s.*")
 
 
-def rewritten_status(lines: DataFrame, key: str, value: str) -> DataFrame:
-    """(line, text) with the value of the first indented `key:` replaced; indent, comment and all else stay."""
+#: An id of a story, and what a key of the status file is made of.
+STORY_ID, KEY = r"[0-9]+\.[0-9]+", r"[A-Za-z0-9_-]+"
+
+
+def story_texts(rows: DataFrame, lines: DataFrame, plan: str = "plan") -> DataFrame:
+    """Stories (start_line, end_line, ...) with `body`: their lines of the plan, heading included."""
+    own = lines.select(F.col(plan).alias("_plan"), F.col("line").alias("_line"), F.col("text").alias("_text"))
+    inside = rows.join(own, (rows[plan] == own["_plan"]) & F.col("_line").between(F.col("start_line"), F.col("end_line")))
+    by_line = F.array_sort(F.collect_list(F.struct("_line", "_text")))
+    return inside.groupBy(*rows.columns).agg(F.array_join(F.transform(by_line, lambda x: x["_text"]), "\n").alias("body"))
+
+
+def artifacts(files: DataFrame) -> DataFrame:
+    """(file, text) of files named N-M-....md to (id, title, status, body, file); the first file of an id counts."""
+    name = F.regexp_extract("file", r"([0-9]+)-([0-9]+)-[^/]*\.md$", 0)
+    part = lambda k: F.regexp_extract("file", r"(?:^|/)([0-9]+)-([0-9]+)-[^/]*\.md$", k)
+    status, title = F.regexp_extract("text", r"(?m)^Status:[ \t]*(\S+)", 1), F.regexp_extract("text", r"(?m)^#[ \t]+(.+?)[ \t\r]*$", 1)
+    rows = files.filter((name != "") & (part(1) != "")).select(F.concat_ws(".", part(1), part(2)).alias("id"), "file", F.struct(title.alias("title"), F.when(status != "", status).otherwise("unknown").alias("status"), F.col("text").alias("body"), F.col("file").alias("file")).alias("s"))
+    return rows.groupBy("id").agg(F.min_by("s", "file").alias("s")).select("id", "s.*")
+
+
+def get_story(story_id: str, own: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row (source, id, title, status, body) at most: the story's own file (see artifacts), else its part of the plan (rows: epic, number, title, status, body)."""
+    if not re.fullmatch(STORY_ID, story_id):
+        raise ValueError("a story's id is two numbers with a dot between, like 33.7")
+    columns = ("source", "id", "title", "status", "body")
+    first = own.filter(F.col("id") == story_id).select(F.lit("implementation-artifact").alias("source"), "id", "title", "status", "body")
+    planned = rows.select(F.lit("epic-section").alias("source"), F.concat_ws(".", "epic", "number").alias("id"), "title", "status", "body").filter(F.col("id") == story_id)
+    return first.withColumn("rank", F.lit(0)).unionByName(planned.withColumn("rank", F.lit(1))).groupBy("id").agg(F.min_by(F.struct(*columns), "rank").alias("s")).select("s.*")
+
+
+def rewritten_status(lines: DataFrame, key: str, value: str, plan: str | None = None) -> DataFrame:
+    """(line, text), or (plan, line, text), with the value of the first indented `key:` of each file replaced; indent, comment and all else stay."""
+    if not re.fullmatch(KEY, key):
+        raise ValueError("a key is made of letters, digits, _ and -")
     if value not in STATUSES:
         raise ValueError(f"status must be one of {', '.join(STATUSES)}")
     pattern = rf"^(\s+{key}:\s*)([^\s#]*)(.*)$"
-    first = lines.filter(F.col("text").rlike(pattern)).agg(F.min("line").alias("_at"))
+    found = lines.filter(F.col("text").rlike(pattern))
+    if plan is not None:
+        first = found.groupBy(plan).agg(F.min("line").alias("_at"))
+        return lines.join(first, plan, "left").select(plan, "line", F.when(F.col("line") == F.col("_at"), F.regexp_replace("text", pattern, f"$1{value}$3")).otherwise(F.col("text")).alias("text"))
+    first = found.agg(F.min("line").alias("_at"))  # one row
     return lines.join(F.broadcast(first)).select("line", F.when(F.col("line") == F.col("_at"), F.regexp_replace("text", pattern, f"$1{value}$3")).otherwise(F.col("text")).alias("text"))

@@ -59,8 +59,14 @@ def next_story(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = status_lines(spark, sf_dir).filter("plan = 1").select("line", "text")
-    return planning.rewritten_status(lines, "epic-25", "done")
+    return planning.rewritten_status(status_lines(spark, sf_dir), "epic-25", "done", "plan")
+
+
+def story_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each story's part of its plan."""
+    lines = plan_lines(spark, sf_dir)
+    rows = planning.stories(planning.headings(lines), _ends(lines)).select("plan", "epic", "number", "title", "start_line", "end_line")
+    return planning.story_texts(rows, lines)
 
 
 def gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +91,8 @@ def requirement_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").filter("l_partkey % 7 = 0 and l_quantity < 25").selectExpr("concat('p', l_partkey % 60) as src", "concat('p', l_suppkey % 60) as dst", "l_orderkey as importer").filter("cast(substr(dst, 2) as int) >= cast(substr(src, 2) as int) - 3 and importer % 11 = 0")
+    """Order lines as imports between parts of one group of 16; the groups grow with the table."""
+    return table(spark, sf_dir, "lineitem").selectExpr("concat('p', l_partkey) as src", "concat('p', l_partkey - l_partkey % 16 + l_suppkey % 16) as dst", "l_orderkey as importer")
 
 
 def dep_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +100,8 @@ def dep_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").filter("o_orderkey % 9 = 0").selectExpr("concat('n', o_custkey % 400) as src", "concat('n', (o_custkey * 7 + o_orderkey) % 400) as dst").filter("substr(src, 2, 1) <> '3' or substr(dst, 2, 1) = '3'").distinct()
+    """Orders as links to the next one or back to the first of eight."""
+    return table(spark, sf_dir, "orders").selectExpr("concat('n', o_orderkey) as src", "concat('n', case when o_custkey % 3 = 0 then o_orderkey - o_orderkey % 8 else o_orderkey + 1 end) as dst")
 
 
 def dep_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,8 +145,8 @@ def events_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def route_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    groups = orders.filter("o_orderkey % 10 = 0").selectExpr("o_custkey % 50 as file", "o_orderkey % 1000 as start", "o_orderkey % 1000 + o_custkey % 300 as stop", "concat('/g', o_orderkey) as prefix")
-    routes = orders.filter("o_orderkey % 10 = 3").selectExpr("o_custkey % 50 as file", "o_orderkey * 2000 + o_orderkey % 1000 as pos0", "o_orderkey").selectExpr("file", "pos0 % 2000 as pos", "concat('/r', o_orderkey) as path")
+    groups = orders.filter("o_orderkey % 2 = 0").selectExpr("o_custkey as file", "o_orderkey % 1000 as start", "o_orderkey % 1000 + o_custkey % 300 as stop", "concat('/g', o_orderkey) as prefix")
+    routes = orders.filter("o_orderkey % 2 = 1").selectExpr("o_custkey as file", "o_orderkey * 2000 + o_orderkey % 1000 as pos0", "o_orderkey").selectExpr("file", "pos0 % 2000 as pos", "concat('/r', o_orderkey) as path")
     return introspect.grouped_routes(routes.groupBy("file", "pos").agg(F.min("path").alias("path")), groups)
 
 
@@ -161,7 +169,7 @@ def confidence_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return introspect.worst_confidence(rows, "source")
 
 
-QUERIES = {f.__name__: f for f in (epics_list, story_status, next_story, status_rewrite, gap_report, requirement_trace, dep_graph, dep_cycles, dep_dot, clone_groups, clone_runs, package_report, rule_scan, events_pairing, route_groups, ledger_status, ledger_rollback, confidence_rollup)}
+QUERIES = {f.__name__: f for f in (epics_list, story_status, next_story, status_rewrite, story_bodies, gap_report, requirement_trace, dep_graph, dep_cycles, dep_dot, clone_groups, clone_runs, package_report, rule_scan, events_pairing, route_groups, ledger_status, ledger_rollback, confidence_rollup)}
 
 _PLAN = rf"""pl AS (SELECT o_orderkey // 1000 AS plan, (o_orderkey % 1000)::INT AS line, {PLAN_SQL} AS text FROM orders),
 fe AS (SELECT *, sum((text = '```')::INT) OVER (PARTITION BY plan ORDER BY line) AS f FROM pl),
@@ -177,19 +185,20 @@ sl AS (SELECT o_orderkey // 1000 AS plan, o_orderkey % 1000 AS line, CASE WHEN o
 ks AS (SELECT plan, key, arg_max(value, line) AS value, min(line) AS position FROM sl GROUP BY ALL),
 fp AS (SELECT plan, regexp_extract(key, '^(\d+-\d+)-', 1) AS prefix, arg_min(value, position) AS v FROM ks WHERE regexp_matches(key, '^\d+-\d+-') GROUP BY ALL),
 ss AS (SELECT st.*, coalesce(v, badge, 'backlog') AS status FROM st LEFT JOIN fp ON fp.plan = st.plan AND prefix = st.epic || '-' || st.number)"""
-_IMPORTS = "im AS (SELECT * FROM (SELECT 'p' || (l_partkey % 60) AS src, 'p' || (l_suppkey % 60) AS dst, l_orderkey AS importer FROM lineitem WHERE l_partkey % 7 = 0 AND l_quantity < 25) WHERE substr(dst, 2)::INT >= substr(src, 2)::INT - 3 AND importer % 11 = 0), ed AS (SELECT src, dst, count(DISTINCT importer) AS weight FROM im WHERE src <> dst GROUP BY ALL)"
+_IMPORTS = "im AS (SELECT * FROM (SELECT 'p' || l_partkey AS src, 'p' || (l_partkey - l_partkey % 16 + l_suppkey % 16) AS dst, l_orderkey AS importer FROM lineitem)), ed AS (SELECT src, dst, count(DISTINCT importer) AS weight FROM im WHERE src <> dst GROUP BY ALL)"
 _REACH = "reach AS (SELECT src, dst FROM {e} UNION SELECT r.src, e.dst FROM reach r JOIN {e} e ON e.src = r.dst), cy AS (SELECT a.src AS node, min(a.dst) AS component FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src GROUP BY a.src)"
 _WORDS = "w AS (SELECT doc_id AS file, regexp_split_to_array(coalesce(text, ''), '[ \\n]') AS ws FROM documents), win AS (SELECT file, i AS start, md5(array_to_string(ws[i:i + 19], chr(1))) AS signature FROM (SELECT file, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20))"
 _LEDGER = "lg AS (SELECT 'm' || o_orderkey AS name, ((year(o_orderdate) - 1992) * 12 + month(o_orderdate))::INT AS batch, strftime(o_orderdate, '%Y-%m-%d') AS executed_at FROM orders WHERE o_orderkey % 3 = 0)"
 SQL = {
     "epics_list": f"WITH {_PLAN} SELECT ep.plan, ep.epic, ep.title, coalesce(ks.value, ep.badge, 'backlog') AS status, ep.start_line, ep.end_line, (SELECT count(*) FROM st WHERE st.plan = ep.plan AND st.epic = ep.epic) AS stories FROM ep LEFT JOIN ks ON ks.plan = ep.plan AND ks.key = 'epic-' || ep.epic",
     "story_status": f"WITH {_PLAN} SELECT plan, epic, number, title, status, start_line, end_line FROM ss",
+    "story_bodies": f"WITH {_PLAN} SELECT st.plan, epic, number, title, start_line, end_line, string_agg(text, chr(10) ORDER BY line) AS body FROM st JOIN pl ON pl.plan = st.plan AND line BETWEEN start_line AND end_line GROUP BY st.plan, epic, number, title, start_line, end_line",
     "next_story": f"WITH {_PLAN} SELECT plan, epic, number, title, status FROM (SELECT *, row_number() OVER (PARTITION BY plan ORDER BY epic, number) AS n FROM ss WHERE status <> 'done') WHERE n = 1",
     "gap_report": """WITH ids AS (SELECT p_size || '.' || (p_partkey % 100) AS id FROM part UNION SELECT p_partkey::VARCHAR FROM part),
 refs AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9.]+')) AS id FROM documents) SELECT id FROM ids WHERE id NOT IN (SELECT id FROM refs)""",
     "requirement_trace": "SELECT item_id, doc_id, (len(x) - len(replace(x, chr(10), '')) + 1)::INT AS line FROM (SELECT item_id, doc_id, substr(d.text, 1, instr(d.text, b.text) - 1) AS x FROM documents d, benchmark b WHERE contains(d.text, b.text))",
     "dep_graph": f"WITH {_IMPORTS} SELECT * FROM ed",
-    "dep_cycles": f"WITH RECURSIVE e AS (SELECT DISTINCT * FROM (SELECT 'n' || (o_custkey % 400) AS src, 'n' || ((o_custkey * 7 + o_orderkey) % 400) AS dst FROM orders WHERE o_orderkey % 9 = 0) WHERE src[2] <> '3' OR dst[2] = '3'), {_REACH.format(e='e')} SELECT component, node FROM cy",
+    "dep_cycles": f"WITH RECURSIVE e AS (SELECT 'n' || o_orderkey AS src, 'n' || CASE WHEN o_custkey % 3 = 0 THEN o_orderkey - o_orderkey % 8 ELSE o_orderkey + 1 END AS dst FROM orders), {_REACH.format(e='e')} SELECT component, node FROM cy",
     "dep_dot": f"""WITH RECURSIVE {_IMPORTS}, {_REACH.format(e='ed')} SELECT 0 AS section, '  "' || n || '";' AS text FROM (SELECT src AS n FROM ed UNION SELECT dst FROM ed)
 UNION ALL SELECT 1, '  "' || src || '" -> "' || dst || '" [label=' || weight || CASE WHEN a.component = b.component THEN ', color=red' ELSE '' END || '];' FROM ed LEFT JOIN cy a ON a.node = src LEFT JOIN cy b ON b.node = dst""",
     "clone_groups": f"WITH {_WORDS} SELECT signature, count(*) AS places, count(DISTINCT file) AS files, min({{'f': file, 's': start}}).f AS file, min({{'f': file, 's': start}}).s::INT AS start FROM win GROUP BY signature HAVING count(*) > 1",
@@ -204,16 +213,17 @@ c AS (SELECT *, CASE WHEN len(flat) > 120 THEN substr(flat, 1, 119) || '…' ELS
 SELECT substr(sha1(chk || ':' || file || ':' || line || ':' || excerpt), 1, 16) AS id, severity, rank, chk AS "check", file, line::INT AS line, excerpt FROM c""",
     "events_pairing": """WITH e AS (SELECT DISTINCT 'e' || (event_id % 500) AS event, 'u' || user_id AS place, event_type FROM events WHERE event_type IN ('signup', 'purchase'))
 SELECT event, coalesce(string_agg(place, ',' ORDER BY place) FILTER (WHERE event_type = 'signup'), '') AS subscribers, coalesce(string_agg(place, ',' ORDER BY place) FILTER (WHERE event_type = 'purchase'), '') AS emitters FROM e GROUP BY event""",
-    "route_groups": """WITH g AS (SELECT o_custkey % 50 AS file, o_orderkey % 1000 AS start, o_orderkey % 1000 + o_custkey % 300 AS stop, '/g' || o_orderkey AS prefix FROM orders WHERE o_orderkey % 10 = 0),
-r AS (SELECT file, pos, min(path) AS path FROM (SELECT o_custkey % 50 AS file, (o_orderkey * 2000 + o_orderkey % 1000) % 2000 AS pos, '/r' || o_orderkey AS path FROM orders WHERE o_orderkey % 10 = 3) GROUP BY ALL)
+    "route_groups": """WITH g AS (SELECT o_custkey AS file, o_orderkey % 1000 AS start, o_orderkey % 1000 + o_custkey % 300 AS stop, '/g' || o_orderkey AS prefix FROM orders WHERE o_orderkey % 2 = 0),
+r AS (SELECT file, pos, min(path) AS path FROM (SELECT o_custkey AS file, (o_orderkey * 2000 + o_orderkey % 1000) % 2000 AS pos, '/r' || o_orderkey AS path FROM orders WHERE o_orderkey % 2 = 1) GROUP BY ALL)
 SELECT r.file, r.pos, coalesce(string_agg(prefix, '' ORDER BY start, prefix), '') || min(path) AS path, count(prefix) AS depth FROM r LEFT JOIN g ON g.file = r.file AND start < pos AND pos < stop GROUP BY r.file, r.pos""",
     "ledger_status": f"WITH {_LEDGER} SELECT k.name, CASE WHEN batch IS NULL THEN 'pending' ELSE 'applied' END AS state, coalesce(batch, 0) AS batch, executed_at, coalesce((SELECT max(batch) FROM lg), 0) AS current_batch FROM (SELECT 'm' || o_orderkey AS name FROM orders) k LEFT JOIN lg ON lg.name = k.name",
     "ledger_rollback": f"WITH {_LEDGER} SELECT * FROM lg WHERE batch > greatest(0, (SELECT max(batch) FROM lg) - 2)",
     "package_report": """WITH d AS (SELECT source, lang, quality, toxic, (SELECT count(*) FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS l) WHERE trim(l, ' ') <> '' AND NOT starts_with(trim(l, ' '), '//')) AS loc FROM documents LEFT JOIN labels USING (doc_id))
 SELECT source, count(*) AS files, sum(loc)::BIGINT AS loc, count(DISTINCT lang) AS exports, count(*) FILTER (WHERE toxic = 1) AS lint_issues, round(avg(quality) * 100, 1) AS coverage FROM d GROUP BY source""",
-    "status_rewrite": """WITH l AS (SELECT (o_orderkey % 1000)::INT AS line, CASE WHEN o_orderkey % 1000 = 0 THEN 'development_status:' WHEN o_orderkey % 1000 > 900 THEN CASE WHEN o_orderkey % 1000 = 901 THEN '' ELSE '  ' END || 'other' || o_orderkey || ': x'
+    "status_rewrite": """WITH l AS (SELECT o_orderkey // 1000 AS plan, (o_orderkey % 1000)::INT AS line, CASE WHEN o_orderkey % 1000 = 0 THEN 'development_status:' WHEN o_orderkey % 1000 > 900 THEN CASE WHEN o_orderkey % 1000 = 901 THEN '' ELSE '  ' END || 'other' || o_orderkey || ': x'
   WHEN o_orderkey % 5 = 0 THEN '  epic-' || (o_orderkey // 40) || ': ' || CASE WHEN o_orderkey % 3 = 0 THEN 'done' ELSE 'review' END
-  WHEN o_orderkey % 2 = 0 THEN '  ' || (o_orderkey // 40) || '-' || (o_orderkey % 40) || '-slug' || o_custkey || ': ' || ['done', 'review', 'backlog'][o_custkey % 3 + 1] || ' # note' ELSE '  # nothing' END AS text FROM orders WHERE o_orderkey // 1000 = 1)
-SELECT line, CASE WHEN line = (SELECT min(line) FROM l WHERE starts_with(text, '  epic-25: ')) THEN '  epic-25: done' ELSE text END AS text FROM l""",
+  WHEN o_orderkey % 2 = 0 THEN '  ' || (o_orderkey // 40) || '-' || (o_orderkey % 40) || '-slug' || o_custkey || ': ' || ['done', 'review', 'backlog'][o_custkey % 3 + 1] || ' # note' ELSE '  # nothing' END AS text FROM orders),
+f AS (SELECT plan, min(line) AS first FROM l WHERE starts_with(text, '  epic-25: ') GROUP BY plan)
+SELECT l.plan, line, CASE WHEN line = first THEN '  epic-25: done' ELSE text END AS text FROM l LEFT JOIN f USING (plan)""",
     "confidence_rollup": "SELECT source, ['low', 'medium', 'high'][min(CASE WHEN toxic = 1 AND quality = 0 THEN 1 WHEN toxic = 1 THEN 2 ELSE 3 END)] AS confidence FROM labels JOIN documents USING (doc_id) GROUP BY source",
 }

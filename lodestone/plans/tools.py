@@ -54,6 +54,8 @@ class Project:
 
     def introspect(self, kind: str) -> Result:
         """kind: route, entity, event, provider, middleware, config, task, resource."""
+        if kind == "event":
+            return Result(facts.events_across(self.sources()).orderBy("name", "file", "line"))
         return Result(facts.facts(self.sources(), (kind,)).orderBy("name", "file", "line"))
 
     def get_config(self, key: str) -> Result:
@@ -68,7 +70,8 @@ class Project:
         return Result(graph.cycles(self.dep_graph().rows.select("src", "dst")))
 
     def duplicates(self, min_tokens: int = clones.MIN_TOKENS) -> Result:
-        return Result(clones.runs(clones.windows(typescript.token_table(self.sources()), min_tokens), min_tokens).orderBy(F.desc("tokens"), "file_a"))
+        tokens = typescript.token_table(self.sources())
+        return Result(clones.long_enough(clones.runs(clones.windows(tokens, min_tokens), min_tokens), tokens).orderBy(F.desc("tokens"), "file_a", "line_a"))
 
     def security_scan(self, checks: list[str] | None = None) -> Result:
         return Result(rules.ordered(code_rules.scan_code(self.sources().filter(~trace.is_test(F.col("file"))).select("file", "text"), checks)))
@@ -84,6 +87,16 @@ class Project:
         lines = self.plan(plan_file)
         return Result(planning.epics(planning.headings(lines), lines.groupBy("plan").agg(F.max("line").alias("last_line"))).orderBy("epic"))
 
+    def get_story(self, story_id: str, plan_file: str, status_file: str | None = None) -> Result:
+        """A story by its id, from its own file or else from the plan."""
+        lines = self.plan(plan_file)
+        rows = planning.stories(planning.headings(lines), lines.groupBy("plan").agg(F.max("line").alias("last_line")))
+        status = files.files(self.spark, self.root, "*.yaml").filter(F.col("file") == (status_file or "")).select(F.lit(0).alias("plan"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+        rows = planning.story_status(rows, planning.statuses(status))
+        own = planning.artifacts(files.files(self.spark, self.root, "*.md").filter(F.col("file").contains("implementation-artifacts/")))
+        found = planning.get_story(story_id, own, planning.story_texts(rows, lines))
+        return Result(found, [] if found.limit(1).count() else [f"no story {story_id}"])
+
     def update_status(self, lines: DataFrame, key: str, value: str, target: str | None = None, confirm: bool = False) -> Result:
         """The rewritten lines; written to `target` as text only on confirm."""
         out = planning.rewritten_status(lines, key, value)

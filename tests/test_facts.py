@@ -8,8 +8,9 @@ from lodestone.sources.typescript import tokenize
 APP = {
     "routes.ts": 'router.get("/health", () => "ok");\nrouter.group(() => {\n router.get("/users", [Users, "index"]);\n router.group(() => { router.post("/admin", [Users, "admin"]); }).prefix("/v2").middleware("throttle");\n}).prefix("/api").middleware("auth").guard("jwt");\ncache.get("/no");',
     "User.ts": '@Entity("users")\nexport class User {\n @Column()\n id: string;\n @Column() email = "";\n @HasMany("posts", Post)\n posts: Post[];\n @BeforeSave\n hash() { return { a: 1 }; }\n}',
-    "events.ts": 'class Made { static EVENT_NAME = "made"; }\nbus.subscribe("gone", (e) => {});\nbus.emit(new Made(1));\nbus.dispatch("bye", { id });\n@EventListener("made")\nclass L { handle() {} }\nbus.emit(new Other());',
-    "P.ts": 'export class MailProvider { constructor(private app: any) {}\n register() { this.app.singleton("mailer", () => ({})); }\n async boot() {} }',
+    "harbour.ts": 'class ShipMoored { static EVENT_NAME = "ship.moored"; }\nquay.subscribe("tide.turned", (t) => {});\nquay.emit(new ShipMoored(7));\nquay.dispatch("crane.idle", { berth });\n@EventListener("ship.moored")\nclass Pilot { handle() {} }\nquay.emit(new CargoLanded());',
+    "CargoLanded.ts": 'export class CargoLanded { static EVENT_NAME = "cargo.landed"; }',
+    "Tides.ts": 'export class TideProvider {\n boot() { return 1; }\n register() { harbour.singleton("tides", () => table()); } }',
     "Kernel.ts": "export class K { globalMiddleware = [A, B];\n namedMiddleware = { auth: C, throttle: D }; }",
     "config.ts": 'export default defineConfig({ name: "n", port: process.env.PORT, level: env("L", "info"), on: false, tags: ["a"], plug: [X], db: { host: "h", port: 5432 } });',
     "tasks.ts": 'class T { @Schedule("* * * * *") run() {} @Schedule(X) go() {} }\nthis.scheduler.register("nightly", () => {});\ndefineResource({ name: "posts", actions: ["list"] });\ndefineResource(x);',
@@ -31,12 +32,17 @@ def test_entities():
 
 
 def test_events():
-    assert sorted((n, d["side"]) for _, n, d in of("event", "events.ts")) == [("<Other>", "emitter"), ("bye", "emitter"), ("gone", "subscriber"), ("made", "emitter"), ("made", "subscriber")]
+    assert sorted((n, d["side"]) for _, n, d in of("event", "harbour.ts")) == [("<CargoLanded>", "emitter"), ("crane.idle", "emitter"), ("ship.moored", "emitter"), ("ship.moored", "subscriber"), ("tide.turned", "subscriber")]
+
+
+def test_event_names_across_files(spark):
+    rows = facts.events_across(spark.createDataFrame([*APP.items(), ("broken.ts", "class {{{ ( [ `")], "file string, text string")).filter("file = 'harbour.ts'").collect()
+    assert ("cargo.landed", True) in {(r.name, json.loads(r.detail)["resolved"]) for r in rows} and len(rows) == 5
 
 
 def test_providers_and_middleware():
-    ((_, name, d),) = of("provider", "P.ts")
-    assert name == "MailProvider" and d["lifecycle"] == {"register": 2, "boot": 3} and d["bindings"] == [{"kind": "singleton", "token": "mailer"}]
+    ((_, name, d),) = of("provider", "Tides.ts")
+    assert name == "TideProvider" and d["lifecycle"] == {"boot": 2, "register": 3} and d["bindings"] == [{"kind": "singleton", "token": "tides"}]
     assert [(n, d.get("order", d.get("alias"))) for _, n, d in of("middleware", "Kernel.ts")] == [("A", 0), ("B", 1), ("C", "auth"), ("D", "throttle")]
 
 

@@ -174,3 +174,40 @@ def test_search_edges(spark):
     assert fulltext.bm25(df, "...").count() == 0
     assert [r.id for r in fulltext.bm25(df, "foo-bar").collect()] == [1]
     assert fulltext.confidence(True, False) == "medium"
+
+
+def test_status_keys_are_checked(spark):
+    lines = spark.createDataFrame([(0, 1, "  k: old"), (1, 1, "  k: old")], "plan int, line int, text string")
+    assert {r.text for r in planning.rewritten_status(lines, "k", "done", "plan").collect()} == {"  k: done"}
+    for key in ("a.c", "", "k:"):
+        with pytest.raises(ValueError):
+            planning.rewritten_status(lines, key, "done")
+
+
+def test_get_story_prefers_its_own_file(spark):
+    text = ["## Epic 1: One", "### Story 1.1: A", "first", "### Story 1.2: B", "second"]
+    lines = spark.createDataFrame([(0, k, t) for k, t in enumerate(text, 1)], "plan int, line int, text string")
+    ends = lines.groupBy("plan").agg(F.max("line").alias("last_line"))
+    none = spark.createDataFrame([], "plan int, key string, value string, position int")
+    rows = planning.story_texts(planning.story_status(planning.stories(planning.headings(lines), ends), none), lines)
+    own = planning.artifacts(spark.createDataFrame([("x/1-1-a.md", "# Own title\nStatus: review\nmore"), ("x/notes.md", "# N")], "file string, text string"))
+    assert tuple(planning.get_story("1.1", own, rows).first()) == ("implementation-artifact", "1.1", "Own title", "review", "# Own title\nStatus: review\nmore")
+    assert tuple(planning.get_story("1.2", own, rows).first()) == ("epic-section", "1.2", "B", "backlog", "### Story 1.2: B\nsecond")
+    assert planning.get_story("9.9", own, rows).count() == 0
+    with pytest.raises(ValueError):
+        planning.get_story("1-2", own, rows)
+
+
+def test_clashing_files_fail_alone(spark):
+    files = spark.createDataFrame([("a.md", 10, "x"), ("b.md", 20, "y")], "file string, mtime bigint, content string")
+    changed = corpus.failed(corpus.changes(files, spark.createDataFrame([], "file string, mtime bigint")), spark.createDataFrame([("b.md",)], "file string"))
+    row = corpus.statistics(changed).first()
+    assert (row.files_indexed, row.files_failed) == (1, 1)
+
+
+def test_clones_of_few_lines_or_on_themselves_are_left_out(spark):
+    words = [f"w{k}" for k in range(30)]
+    tokens = spark.createDataFrame([("a", words, list(range(1, 31))), ("b", words, list(range(5, 35))), ("c", words, [1] * 30), ("d", ["x"] * 60, list(range(60)))], "file string, words array<string>, lines array<int>")
+    got = clones.long_enough(clones.runs(clones.windows(tokens)), tokens).collect()
+    assert {(r.file_a, r.file_b, r.line_a, r.last_line_b) for r in got if r.file_a != "d"} == {("a", "b", 1, 34)}
+    assert all(r.line_b - r.line_a >= r.tokens for r in got if r.file_a == "d")
