@@ -25,12 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder inside the one that the cluster shares (spark.checkpoint.dir).
 
-    Where the session names none, as in tests, a temporary folder of this machine is set.
+    Where the session names none on a single machine, as in tests, a temporary folder is set; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not given.isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
             given = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = given.get()
