@@ -461,14 +461,58 @@ def test_urls(spark):
 
 def test_url_model_on_held_out_urls(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    host, path = urls.parts(F.col("url"))
-    rows_ = pages.select("page_id", urls.fitting(host, path)["verdict"].alias("verdict"), urls.trigrams(F.col("url")).alias("grams")).filter("verdict is not null")
-    ratios = urls.model(rows_.filter("page_id % 2 = 0").select("verdict", "grams"))
-    held = rows_.filter("page_id % 2 = 1").select("page_id", "verdict", F.explode("grams").alias("gram")).join(F.broadcast(ratios), "gram").groupBy("page_id", "verdict").agg(F.avg("ratio").alias("s")).collect()
-    good, bad = [r.s for r in held if r.verdict == "allow"], [r.s for r in held if r.verdict == "block"]
+    held = urls.filter_urls(pages).join(pages.select("page_id", F.substring(F.md5("url"), 1, 1).isin(*urls.HELD).alias("held")), "page_id").filter("held and rule is not null").collect()
+    good, bad = [r.score for r in held if r.verdict == "allow"], [r.score for r in held if r.verdict == "block"]
     assert sum(a > b for a in good for b in bad) / (len(good) * len(bad)) > 0.8
 
 
+def test_urls_without_a_rule_by_their_words(spark):
+    """Rules cover com and net; hosts of org are written like the one or the other, and no rule says which."""
+    rng = random.Random(9)
+    fair, foul = ["garden", "library", "museum", "history", "science"], ["casin0", "xxwin", "viagrra", "freebet", "c1ick"]
+    link = lambda words, top, path: f"https://{rng.choice(words)}{rng.choice(words)}.{top}{path}{rng.choice(words)}/{rng.randrange(9999)}"
+    made = [link(fair, "com", "/fr/") for _ in range(300)] + [link(foul, "net", "/fr/") for _ in range(300)] + [link(words, "org", "/fr/") for words in (fair, foul) for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(made)), "page_id bigint, url string")
+    got = {r.page_id: r for r in urls.filter_urls(df.withColumn("text", F.lit(1)).withColumn("score", F.lit("x"))).collect()}
+    assert all(got[k].rule is None for k in range(600, 800))
+    assert sum(got[k].verdict == ("allow" if k < 700 else "block") for k in range(600, 800)) >= 196
+
+
+def test_url_scores_equal_a_plain_model(spark, monkeypatch):
+    """Scores by loops over the contexts of each character; the same whether the model is broadcast or not."""
+    made = ["http://a.com/x1", "http://b.com/x2?q", "http://c.net/fr/zz", "http://c.net/fr/zy", "http://d.org/x1", "http://é.com/" + "ab" * 3000, None, ""] * 3
+    df = spark.createDataFrame(list(enumerate(made)), "page_id bigint, url string")
+    got = {r.page_id: r for r in urls.filter_urls(df).collect()}
+    monkeypatch.setattr(urls, "BROADCAST_ROWS", 0)
+    assert {r.page_id: r for r in urls.filter_urls(df).collect()} == got
+
+    def symbols(url):
+        found = re.match(r"(?s)(.*?://(?:[^/?#]*\.)?)[^/?#.]*(.*)", url)
+        plain = f"{found[1]}\x01{found[2]}" if found else url
+        return [1] * urls.CONTEXT + [urls.SYMBOLS.find(re.sub("[0-9]", "0", c)) + 2 if c in urls.SYMBOLS + "123456789" else 0 for c in plain]
+
+    counts = {v: Counter() for v in urls.LABELS}
+    for k, url in enumerate(made):
+        if got[k].rule and hashlib.md5(url.encode()).hexdigest()[0] not in urls.HELD:
+            x = symbols(url)
+            for i in range(urls.CONTEXT, len(x)):
+                counts[got[k].verdict].update(tuple(x[i - n : i + 1]) for n in range(urls.CONTEXT + 1))
+    after = {v: defaultdict(list) for v in urls.LABELS}
+    for v in urls.LABELS:
+        for run, n in counts[v].items():
+            after[v][run[:-1]].append(n)
+
+    def chance(v, run):
+        low = chance(v, run[1:]) if len(run) > 1 else 1 / urls.SIZE
+        ns, rare = after[v][run[:-1]], sum(sum(after[w][run[:-1]]) for w in urls.LABELS) < urls.KEPT
+        return low if not ns or len(run) > urls.LONG and rare else (counts[v][run] + len(ns) * low) / (sum(ns) + len(ns))
+
+    for k, url in enumerate(made[:8]):
+        x = symbols(url or "")
+        logs = [math.log(chance("allow", tuple(x[i - urls.CONTEXT : i + 1])) / chance("block", tuple(x[i - urls.CONTEXT : i + 1]))) for i in range(urls.CONTEXT, len(x))]
+        assert got[k].score == pytest.approx(sum(logs) / len(logs) if logs else 0, abs=2e-6)
+
+
 def plain_shards(items, shards):
     """(id, size, crc, shard, slot) in the order of range, part, digest and id, summed one by one."""
     data = [(hashlib.md5((t or "").encode()).hexdigest(), hashlib.md5(str("" if i is None else i).encode()).hexdigest()[:2], i, (t or "").encode()) for i, t in items]
