@@ -12,6 +12,8 @@ from lodestone.functions.text import dot_quote
 RELATIVE = ("", ".ts", ".tsx", ".js", ".mjs")
 SWAPPED = (".ts", ".tsx", ".mts", ".cts")
 INDEX = ("/index.ts", "/index.tsx", "/index.js")
+#: The same for a path inside a package: in its src folder, then beside it; with the name as it is, then without .js.
+INSIDE, GIVEN, WITHOUT, FOLDER = ("/src/", "/"), (".ts", ".tsx"), (".ts", ".tsx", ".mts", ".cts"), ("/index.ts", "/index.tsx")
 
 
 def edges(imports: DataFrame, drop_self: bool = True) -> DataFrame:
@@ -35,13 +37,50 @@ def resolved(imports: DataFrame, files: DataFrame) -> DataFrame:
     def up(acc, part):
         return F.when(part == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when((part == ".") | (part == ""), acc).otherwise(F.concat(acc, F.array(part)))
 
-    base = F.array_join(F.aggregate(F.split(joined, "/"), F.array().cast("array<string>"), up), "/")
-    bare = F.regexp_replace(base, r"\.[mc]?js$", "")
+    path = F.array_join(F.aggregate(F.split(joined, "/"), F.array().cast("array<string>"), up), "/")
+    # Exploding an array of one keeps the path a plain column: else each candidate would resolve it again.
+    held = imports.filter(F.col("specifier").startswith(".")).select("file", "specifier", F.explode(F.array(path)).alias("base"))
+    base, bare = F.col("base"), F.regexp_replace("base", r"\.[mc]?js$", "")
     tried = F.array(*[F.concat(base, F.lit(s)) for s in RELATIVE], *[F.when(bare != base, F.concat(bare, F.lit(s))) for s in SWAPPED], *[F.concat(base, F.lit(s)) for s in INDEX])
-    rows = imports.filter(F.col("specifier").startswith(".")).select("file", "specifier", F.posexplode(tried).alias("priority", "candidate"))
+    rows = held.select("file", "specifier", F.posexplode(tried).alias("priority", "candidate")).filter("candidate is not null")
     return rows.join(files.select(F.col("file").alias("candidate")), "candidate").groupBy("file", "specifier").agg(F.min_by("candidate", "priority").alias("target"))
 
 
+def package_targets(imports: DataFrame, packages: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, specifier) of imports by package name to (file, specifier, target); packages: (name, dir, entry).
+
+    A bare name is the package's entry; a path inside it the first candidate that exists. What no package has is dropped.
+    """
+    parts = F.split("specifier", "/")
+    named = F.when(F.col("specifier").startswith("@"), 2).otherwise(1)
+    rows = imports.filter(~F.col("specifier").startswith(".")).select("file", "specifier", F.array_join(F.slice(parts, F.lit(1), named), "/").alias("name"), F.array_join(F.slice(parts, named + 1, F.size(parts)), "/").alias("inner"))
+    rows = rows.join(packages.select("name", "dir", "entry"), "name")
+    bare = F.regexp_replace("inner", r"\.[mc]?js$", "")  # after the join, a plain column
+    tried = [F.concat("dir", F.lit(at), stem, F.lit(s)) for at in INSIDE for stem, ends in ((F.col("inner"), GIVEN), (bare, WITHOUT), (F.col("inner"), FOLDER)) for s in ends]
+    entry = rows.filter("inner = '' and entry is not null").select("file", "specifier", F.col("entry").alias("target"))
+    inside = rows.filter("inner <> ''").select("file", "specifier", F.posexplode(F.array(*tried)).alias("priority", "candidate"))
+    found = inside.join(files.select(F.col("file").alias("candidate")), "candidate").groupBy("file", "specifier").agg(F.min_by("candidate", "priority").alias("target"))
+    return entry.unionByName(found)
+
+
+def targets(imports: DataFrame, packages: DataFrame, files: DataFrame) -> DataFrame:
+    """All imports that lead to a file: relative ones and those by package name."""
+    return resolved(imports, files).unionByName(package_targets(imports, packages, files))
+
+
+def package_edges(found: DataFrame, packages: DataFrame) -> DataFrame:
+    """(file, target) to edges between the packages that own them, weighted by importing files; none within a package."""
+    both = found.select(F.explode(F.array("file", "target")).alias("file")).distinct()
+    owned = owners(both, packages)
+    src, dst = owned.select("file", F.col("name").alias("src")), owned.select(F.col("file").alias("target"), F.col("name").alias("dst"))
+    return edges(found.join(src, "file").join(dst, "target").select("src", "dst", F.col("file").alias("importer")))
+
+
+def cycles_per_node(found: DataFrame) -> DataFrame:
+    """(component, node) to (node, cycles): in how many cycles a node is."""
+    return found.groupBy("node").agg(F.countDistinct("component").alias("cycles"))
+
+
 def _written(df: DataFrame) -> DataFrame:
     """Cut lineage in the folder of spark.checkpoint.dir; a temporary one only on one machine where none is set."""
     context = df.sparkSession.sparkContext

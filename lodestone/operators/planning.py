@@ -73,8 +73,10 @@ def epic_status(rows: DataFrame, found: DataFrame, plan: str = "plan") -> DataFr
     return keyed.withColumn("status", F.coalesce(F.nullif("_value", F.lit("")), "badge", F.lit("backlog"))).drop("_key", "_value")
 
 
-def next_story(rows: DataFrame, plan: str = "plan") -> DataFrame:
-    """Per plan the first story that is not done, by numbers."""
+def next_story(rows: DataFrame, plan: str = "plan", epic: int | None = None) -> DataFrame:
+    """Per plan the first story (of one epic, if given) that is not done, by numbers."""
+    if epic is not None:
+        rows = rows.filter(F.col("epic") == epic)
     return rows.filter("status <> 'done'").groupBy(plan).agg(F.min_by(F.struct("epic", "number", "title", "status"), F.struct("epic", "number")).alias("s")).select(plan, "s.*")
 
 
@@ -88,6 +90,46 @@ def mentions(text: Column, requirement: Column) -> Column:
     return F.call_function("rlike", text, F.concat(F.lit(r"(^|[^A-Za-z0-9_])"), requirement, F.lit(r"([^0-9]|$)")))
 
 
+#: An id of a requirement, and the names of test files.
+REQUIREMENT, TEST_FILE = r"N?FR-[0-9]+(?:\.[0-9]+)*", r"\.(?:test|spec|fixture)\.tsx?$"
+
+
+def unmentioned(requirements: DataFrame, lines: DataFrame) -> DataFrame:
+    """Requirements (id, ...) that no line (text) mentions; FR-7.1 mentions FR-7 too."""
+    ids = lines.select(F.explode(F.regexp_extract_all("text", F.lit(rf"(?<![A-Za-z0-9_]){REQUIREMENT}"), F.lit(0))).alias("id")).distinct()
+    steps = F.split("id", r"\.")
+    named = ids.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "."))).alias("id"))
+    return requirements.join(named.distinct(), "id", "left_anti")
+
+
+def is_test_file(file: Column) -> Column:
+    return F.substring_index(file, "/", -1).rlike(TEST_FILE)
+
+
+def story_gaps(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Stories (epic, number, ...) that no code or no test names, with columns in_code and in_tests; files: (file, text)."""
+    refs = story_refs(files).groupBy("id").agg(F.max(~is_test_file(F.col("file"))).alias("in_code"), F.max(is_test_file(F.col("file"))).alias("in_tests"))
+    keyed = rows.withColumn("id", F.concat_ws(".", "epic", "number")).join(refs, "id", "left")
+    return keyed.withColumn("in_code", F.coalesce("in_code", F.lit(False))).withColumn("in_tests", F.coalesce("in_tests", F.lit(False))).filter("not (in_code and in_tests)").drop("id")
+
+
+def requirement_trace(requirement: str, lines: DataFrame, ends: DataFrame, found: DataFrame, files: DataFrame, plan: str = "plan") -> DataFrame:
+    """(kind, place, id, line) of the epics, stories, code and test files that mention a requirement, each with its first such line.
+
+    lines, ends and found: a plan's lines, last lines and headings; place is the plan, or the file. A story's lines are its epic's too.
+    """
+    says = lambda text: mentions(text, F.lit(re.escape(requirement)))
+    hits = lines.filter(says(F.col("text"))).select(F.col(plan).alias("_plan"), F.col("line").alias("_line"))
+    held = lambda rows: rows.join(hits, (rows[plan] == hits["_plan"]) & F.col("_line").between(F.col("start_line"), F.col("end_line")))
+    first = F.min("_line").cast("int").alias("line")
+    place = F.col(plan).cast("string").alias("place")
+    of_epics = held(epics(found, ends, plan)).groupBy(F.lit("epic").alias("kind"), place, F.col("epic").cast("string").alias("id"), "start_line").agg(first).drop("start_line")
+    of_stories = held(stories(found, ends, plan)).groupBy(F.lit("story").alias("kind"), place, F.concat_ws(".", "epic", "number").alias("id"), "start_line").agg(first).drop("start_line")
+    texts = files.filter(says(F.col("text"))).select("file", F.posexplode(F.split("text", "\n")).alias("_line", "text")).filter(says(F.col("text")))
+    of_files = texts.groupBy(F.when(is_test_file(F.col("file")), "test").otherwise("code").alias("kind"), F.col("file").alias("place"), F.lit("").alias("id")).agg((F.min("_line") + 1).cast("int").alias("line"))
+    return of_epics.unionByName(of_stories).unionByName(of_files)
+
+
 def requirement_ids(lines: DataFrame) -> DataFrame:
     """(file_order, file, line, text) to (id, file, line) of the first place of each requirement."""
     rows = lines.select("file_order", "file", "line", F.explode(F.regexp_extract_all("text", F.lit(r"\bN?FR-[0-9]+(?:\.[0-9]+)*"), F.lit(0))).alias("id"))

@@ -211,3 +211,34 @@ def test_clones_of_few_lines_or_on_themselves_are_left_out(spark):
     got = clones.long_enough(clones.runs(clones.windows(tokens)), tokens).collect()
     assert {(r.file_a, r.file_b, r.line_a, r.last_line_b) for r in got if r.file_a != "d"} == {("a", "b", 1, 34)}
     assert all(r.line_b - r.line_a >= r.tokens for r in got if r.file_a == "d")
+
+
+def test_rolled_windows_tell_runs_apart(spark):
+    df = spark.createDataFrame([(list(range(50)),), ([7] * 50,), ([1, 2],), ([],)], "marks array<bigint>")
+    for k in (1, 2, 3, 7, 20, 32):
+        rows = [r[0] for r in df.select(clones.rolled(df.marks, k)).collect()]
+        assert [len(r) for r in rows] == [51 - k, 51 - k, max(0, 3 - k), 0]
+        assert len(set(rows[0])) == 51 - k and len(set(rows[1])) == 1 and (k != 2 or rows[2][0] == rows[0][1])
+
+
+def test_targets_by_package_name(spark):
+    files = spark.createDataFrame([(f,) for f in ("p/a/src/x.ts", "p/a/src/x/index.ts", "p/a/y.tsx", "p/a/src/index.ts", "p/b/src/m.ts", "p/b/src/n.mts")], "file string")
+    packages = spark.createDataFrame([("@s/a", "p/a", "p/a/src/index.ts"), ("b", "p/b", None)], "name string, dir string, entry string")
+    asked = [("p/b/src/m.ts", s) for s in ("@s/a", "@s/a/x", "@s/a/y.js", "@s/a/none", "b", "b/n.mjs", "fs", "./n", "../../a/src/x")]
+    found = graph.targets(spark.createDataFrame(asked, "file string, specifier string"), packages, files)
+    assert {r.specifier: r.target for r in found.collect()} == {"@s/a": "p/a/src/index.ts", "@s/a/x": "p/a/src/x.ts", "@s/a/y.js": "p/a/y.tsx", "b/n.mjs": "p/b/src/n.mts", "../../a/src/x": "p/a/src/x.ts"}
+    assert [tuple(r) for r in graph.package_edges(found, packages).collect()] == [("b", "@s/a", 1)]
+    counts = graph.cycles_per_node(spark.createDataFrame([("a", "a"), ("a", "b"), ("a", "b")], "component string, node string"))
+    assert sorted(tuple(r) for r in counts.collect()) == [("a", 1), ("b", 1)]
+
+
+def test_gaps_and_traces_of_plans(spark):
+    text = ["# P", "## Epic 1: One", "covers FR-7.1", "### Story 1.1: A", "NFR-2", "### Story 1.2: B", "FR-70"]
+    lines = spark.createDataFrame([("p", k, t) for k, t in enumerate(text, 1)], "plan string, line int, text string")
+    ends, found = lines.groupBy("plan").agg(F.max("line").alias("last_line")), planning.headings(lines)
+    wanted = spark.createDataFrame([("FR-7", 1), ("FR-2", 2), ("NFR-2", 3), ("FR-70", 4), ("FR-8", 5)], "id string, line int")
+    assert {r.id for r in planning.unmentioned(wanted, lines).collect()} == {"FR-2", "FR-8"}
+    files = spark.createDataFrame([("a.ts", "x\n1.1 FR-7\nFR-7"), ("t/a.test.ts", "FR-7 1.1"), ("b.ts", "1.2. FR-70"), ("c.ts", None)], "file string, text string")
+    assert [(r.number, r.in_code, r.in_tests) for r in planning.story_gaps(planning.stories(found, ends), files).collect()] == [(2, False, False)]
+    hits = planning.requirement_trace("FR-7", lines, ends, found, files)
+    assert sorted(tuple(r) for r in hits.collect()) == [("code", "a.ts", "", 2), ("epic", "p", "1", 3), ("test", "t/a.test.ts", "", 1)]
