@@ -15,6 +15,14 @@ from lodestone.operators import chunking, clones, code_rules, corpus, facts, ful
 from lodestone.sources import files, typescript
 
 
+#: What a graph's nodes are, and how it is given.
+SCOPES, FORMS = ("file", "package"), ("json", "dot")
+
+
+def _ends(lines: DataFrame) -> DataFrame:
+    return lines.groupBy("plan").agg(F.max("line").alias("last_line"))
+
+
 @dataclass
 class Result:
     rows: DataFrame
@@ -61,13 +69,27 @@ class Project:
     def get_config(self, key: str) -> Result:
         return Result(facts.config_value(facts.facts(self.sources(), ("config",)), key))
 
-    def dep_graph(self) -> Result:
-        src = self.sources()
-        links = graph.resolved(typescript.import_table(src), src).select(F.col("file").alias("src"), F.col("target").alias("dst"), F.col("file").alias("importer"))
-        return Result(graph.edges(links, drop_self=False))
-
-    def dep_cycles(self) -> Result:
-        return Result(graph.cycles(self.dep_graph().rows.select("src", "dst")))
+    def packages(self) -> DataFrame:
+        """The packages of the project's manifests: (name, dir, entry)."""
+        manifests = files.files(self.spark, self.root, "package.json").select(F.regexp_replace("file", "/?package\\.json$", "").alias("dir"), "text")
+        return files.packages(manifests, files.files(self.spark, self.root))
+
+    def dep_graph(self, scope: str = "file", form: str = "json") -> Result:
+        """Edges (src, dst, weight) between files or between packages, or the lines of a DOT file."""
+        if scope not in SCOPES or form not in FORMS:
+            raise ValueError(f"scope is one of {', '.join(SCOPES)}, form one of {', '.join(FORMS)}")
+        src, packages = self.sources(), self.packages()
+        found = graph.targets(typescript.import_table(src), packages, src)
+        if scope == "package":
+            links = graph.package_edges(found, packages)
+        else:
+            links = graph.edges(found.select(F.col("file").alias("src"), F.col("target").alias("dst"), F.col("file").alias("importer")), drop_self=False)
+        if form == "dot":
+            return Result(graph.dot(links, graph.cycles(links.select("src", "dst"))).orderBy("section", "src", "dst").select("text"))
+        return Result(links.orderBy("src", "dst"))
+
+    def dep_cycles(self, scope: str = "file") -> Result:
+        return Result(graph.cycles(self.dep_graph(scope).rows.select("src", "dst")))
 
     def duplicates(self, min_tokens: int = clones.MIN_TOKENS) -> Result:
         tokens = typescript.token_table(self.sources())
@@ -85,18 +107,44 @@ class Project:
 
     def list_epics(self, plan_file: str) -> Result:
         lines = self.plan(plan_file)
-        return Result(planning.epics(planning.headings(lines), lines.groupBy("plan").agg(F.max("line").alias("last_line"))).orderBy("epic"))
+        return Result(planning.epics(planning.headings(lines), _ends(lines)).orderBy("epic"))
+
+    def _stories(self, lines: DataFrame, status_file: str | None) -> DataFrame:
+        """The stories of a plan with their status."""
+        rows = planning.stories(planning.headings(lines), _ends(lines))
+        status = files.files(self.spark, self.root, "*.yaml").filter(F.col("file") == (status_file or "")).select(F.lit(0).alias("plan"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
+        return planning.story_status(rows, planning.statuses(status))
 
     def get_story(self, story_id: str, plan_file: str, status_file: str | None = None) -> Result:
         """A story by its id, from its own file or else from the plan."""
         lines = self.plan(plan_file)
-        rows = planning.stories(planning.headings(lines), lines.groupBy("plan").agg(F.max("line").alias("last_line")))
-        status = files.files(self.spark, self.root, "*.yaml").filter(F.col("file") == (status_file or "")).select(F.lit(0).alias("plan"), F.posexplode(F.split("text", "\n")).alias("line", "text"))
-        rows = planning.story_status(rows, planning.statuses(status))
         own = planning.artifacts(files.files(self.spark, self.root, "*.md").filter(F.col("file").contains("implementation-artifacts/")))
-        found = planning.get_story(story_id, own, planning.story_texts(rows, lines))
+        found = planning.get_story(story_id, own, planning.story_texts(self._stories(lines, status_file), lines))
         return Result(found, [] if found.limit(1).count() else [f"no story {story_id}"])
 
+    def next_story(self, plan_file: str, status_file: str | None = None, epic: int | None = None) -> Result:
+        """The first story that is not done, of one epic if given; no row if all are."""
+        return Result(planning.next_story(self._stories(self.plan(plan_file), status_file), epic=epic))
+
+    def trace(self, requirement: str, plan_file: str) -> Result:
+        """Epics, stories, code and test files that mention a requirement."""
+        if not requirement:
+            raise ValueError("a requirement has an id")
+        lines = self.plan(plan_file)
+        return Result(planning.requirement_trace(requirement, lines, _ends(lines), planning.headings(lines), self.sources()).orderBy("kind", "place", "line"))
+
+    def gap_report(self, plan_file: str) -> Result:
+        """(gap, id, place): requirements that the plan does not mention, and stories that no code or no test names."""
+        lines = self.plan(plan_file)
+        folder = plan_file.rsplit("/", 1)[0] + "/"
+        texts = files.files(self.spark, self.root, "*.md").filter(F.col("file").startswith(folder) & (F.col("file") != plan_file))
+        said = texts.select(F.col("file").alias("file_order"), "file", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+        wanted = planning.unmentioned(planning.requirement_ids(said), lines).select(F.lit("requirement without story").alias("gap"), "id", F.concat_ws(":", "file", "line").alias("place"))
+        found = planning.story_gaps(planning.stories(planning.headings(lines), _ends(lines)), self.sources())
+        lacking = lambda flag, gap: found.filter(~F.col(flag)).select(F.lit(gap).alias("gap"), F.concat_ws(".", "epic", "number").alias("id"), F.col("title").alias("place"))
+        rows = wanted.unionByName(lacking("in_code", "story without code")).unionByName(lacking("in_tests", "story without test"))
+        return Result(rows.orderBy("gap", "id"), [] if lines.limit(1).count() else [f"{plan_file} not found"])
+
     def update_status(self, lines: DataFrame, key: str, value: str, target: str | None = None, confirm: bool = False) -> Result:
         """The rewritten lines; written to `target` as text only on confirm."""
         out = planning.rewritten_status(lines, key, value)
