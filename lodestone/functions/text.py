@@ -101,6 +101,25 @@ def finding_id(check: Column, file: Column, line: Column, text: Column) -> Colum
     return F.substring(F.sha1(F.concat_ws(":", check, file, line.cast("string"), text)), 1, 16)
 
 
+def trailing_json(output: Column) -> Column:
+    """The last line of a program's output that is not blank, if it is a JSON object; else null."""
+    lines = F.filter(F.transform(F.split(output, "\n"), lambda x: F.trim(F.translate(x, "\t\r", "  "))), lambda x: x != "")
+    last = F.try_element_at(lines, F.lit(-1))
+    return F.when(F.schema_of_variant(F.try_parse_json(last)).startswith("OBJECT"), last)
+
+
+#: Suffixes of generated classes, by kind; the first kind makes the entity and these two.
+SUFFIXES = {"controller": "Controller", "validator": "Validator"}
+
+
+def predicted_paths(kind: str, module: Column, name: Column) -> Column:
+    """The files that generating `name` in a module writes, as far as their names are known; a suffix is not doubled."""
+    at = lambda stem: F.concat(F.lit("app/"), module, F.lit("/"), stem, F.lit(".ts"))
+    ending = lambda s: at(F.when(name.endswith(s), name).otherwise(F.concat(name, F.lit(s))))
+    made = {"module": [at(name), *map(ending, SUFFIXES.values())], "entity": [at(name)], **{k: [ending(s)] for k, s in SUFFIXES.items()}}
+    return F.array(*made.get(kind, [])).cast("array<string>")
+
+
 def redact(text: Column, root: str) -> Column:
     """Paths below root, passwords in urls and anything after them that would name a place."""
     return F.regexp_replace(F.replace(text, F.lit(root), F.lit("<root>")), r"(\w+://[^:/@\s]+):[^@\s]+@", "$1:***@")

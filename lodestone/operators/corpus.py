@@ -71,6 +71,11 @@ def merged(state: DataFrame, changed: DataFrame) -> DataFrame:
     return state.join(new.select("file").distinct(), "file", "left_anti").select(*state.columns).unionByName(new)
 
 
+def deleted(state: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """The next version of a table keyed by file without the rows of `files`; without any row if none are named."""
+    return state.limit(0) if files is None else state.join(files.select("file").distinct(), "file", "left_anti").select(*state.columns)
+
+
 def collisions(chunks: DataFrame, state: DataFrame) -> DataFrame:
     """Files with a chunk id that another file already owns: they fail alone."""
     owned = state.select("id", F.col("file").alias("owner"))

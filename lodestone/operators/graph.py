@@ -81,6 +81,18 @@ def cycles_per_node(found: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.countDistinct("component").alias("cycles"))
 
 
+def package_report(files: DataFrame, packages: DataFrame, exports: DataFrame, cycles: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Every package with its files, lines of code, different exports, cycles and coverage (null where there is none).
+
+    files: (file, loc); exports: (file, export); cycles: (node, cycles); coverage: (name, coverage).
+    """
+    owned = owners(files.select("file"), packages)
+    sizes = files.join(owned, "file").groupBy("name").agg(F.count("*").alias("files"), F.sum("loc").cast("bigint").alias("loc"))
+    public = exports.join(owned, "file").groupBy("name").agg(F.countDistinct("export").alias("exports"))
+    rows = packages.select("name").join(sizes, "name", "left").join(public, "name", "left").join(cycles.withColumnRenamed("node", "name"), "name", "left").join(coverage, "name", "left")
+    return rows.select("name", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("files", "loc", "exports", "cycles")], "coverage")
+
+
 def _written(df: DataFrame) -> DataFrame:
     """Cut lineage in the folder of spark.checkpoint.dir; a temporary one only on one machine where none is set."""
     context = df.sparkSession.sparkContext

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import graph, planning
-from lodestone.plans.code_queries import _PLAN, _ends, plan_lines
+from lodestone.functions import text as tx
+from lodestone.operators import corpus, graph, ledger, planning
+from lodestone.plans.code_queries import _LEDGER, _PLAN, _ends, _ledger, plan_lines
 from lodestone.plans.inputs import table
 from lodestone.sources import files
 
@@ -69,7 +70,44 @@ def requirement_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.requirement_trace(ASKED, lines, _ends(lines), planning.headings(lines), _code(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (import_targets, dep_packages, dep_cycle_counts, story_gaps, requirement_gaps, requirement_sites)}
+def project_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packages of parts: sizes as lines, brands as exports, the mean price as coverage of packages with an even number."""
+    parts, packages = table(spark, sf_dir, "part"), _packages(spark, sf_dir)[1]
+    sized = parts.selectExpr("concat('packages/p', p_partkey div 20, '/src/f', p_partkey, '.ts') as file", "p_size as loc", "p_brand as export", "concat('@shop/p', p_partkey div 20) as name", "p_partkey div 20 as n", "p_size")
+    coverage = sized.filter("n % 2 = 0").groupBy("name").agg(F.max("p_size").alias("coverage"))
+    return graph.package_report(sized.select("file", "loc"), packages, sized.select("file", "export"), dep_cycle_counts(spark, sf_dir), coverage)
+
+
+def rollback_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What undoing the last three batches that exist undoes, of a ledger with gaps between batches."""
+    return ledger.rollback(_ledger(spark, sf_dir).filter("batch % 5 < 2"), 3, preview=False).select("name", "batch", "executed_at")
+
+
+def migration_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of migration files cut into number and name."""
+    return ledger.split_name(table(spark, sf_dir, "orders").selectExpr("concat(o_orderkey, case o_custkey % 3 when 0 then '_add_' when 1 then '-' else '_' end, if(o_custkey % 7 = 0, '', cast(o_custkey as string))) as file"))
+
+
+def outputs_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as outputs of programs: their last line, where it is a JSON object."""
+    made = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", """concat('log ', l_partkey, '\n', case l_suppkey % 5 when 0 then '{"n": 1}\n[2]' when 1 then concat('{"n": ', l_partkey, ', "x": {"y": [1, null]}}') when 2 then '{"n": ' when 3 then '17' else '' end,
+        case l_partkey % 3 when 0 then '\n' when 1 then '\r\n \n' else '' end) as output""")
+    return made.select("l_orderkey", "l_linenumber", tx.trailing_json(F.col("output")).alias("json"))
+
+
+def generated_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that generating a module for every part would write."""
+    made = table(spark, sf_dir, "part").selectExpr("p_partkey", "concat('m', p_size) as module", "concat('Part', p_partkey, if(p_partkey % 4 = 0, 'Controller', '')) as name")
+    return made.select("p_partkey", F.posexplode(tx.predicted_paths("module", F.col("module"), F.col("name"))).alias("place", "path"))
+
+
+def index_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as an index, without the files that the labels call toxic."""
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id as file", "source")
+    return corpus.deleted(docs, table(spark, sf_dir, "labels").filter("toxic = 1").selectExpr("doc_id as file"))
+
+
+QUERIES = {f.__name__: f for f in (import_targets, dep_packages, dep_cycle_counts, story_gaps, requirement_gaps, requirement_sites, project_report, rollback_run, migration_names, outputs_json, generated_paths, index_deleted)}
 
 _TARGETS = """im AS (SELECT DISTINCT l_partkey AS f, l_suppkey AS s, l_linenumber % 3 AS kind FROM lineitem),
 mains AS (SELECT p_partkey // 20 AS package, min(p_partkey) AS main FROM part GROUP BY 1),
@@ -95,4 +133,14 @@ docs AS (SELECT file, test, unnest(string_split(text, chr(10))) AS text, generat
 SELECT 'epic' AS kind, plan::VARCHAR AS place, epic::VARCHAR AS id, min(line)::INT AS line FROM ep JOIN hits USING (plan) WHERE line BETWEEN start_line AND end_line GROUP BY plan, epic, start_line
 UNION ALL SELECT 'story', plan::VARCHAR, epic || '.' || number, min(line)::INT FROM st JOIN hits USING (plan) WHERE line BETWEEN start_line AND end_line GROUP BY plan, epic, number, start_line
 UNION ALL SELECT CASE WHEN test THEN 'test' ELSE 'code' END, file, '', min(line)::INT FROM docs WHERE {_SAYS} GROUP BY file, test""",
+    "project_report": f"""WITH RECURSIVE {_TARGETS}, reach AS (SELECT src, dst FROM pe UNION SELECT r.src, e.dst FROM reach r JOIN pe e ON e.src = r.dst)
+SELECT name, count(*) AS files, sum(p_size)::BIGINT AS loc, count(DISTINCT p_brand) AS exports, (SELECT count(*) FROM reach WHERE src = dst AND src = name) AS cycles, max(CASE WHEN even THEN p_size END) AS coverage
+FROM (SELECT '@shop/p' || (p_partkey // 20) AS name, p_partkey // 20 % 2 = 0 AS even, p_size, p_brand FROM part) GROUP BY name""",
+    "rollback_run": f"WITH {_LEDGER}, l AS (SELECT * FROM lg WHERE batch % 5 < 2) SELECT name, batch, executed_at FROM l WHERE batch IN (SELECT DISTINCT batch FROM l ORDER BY batch DESC LIMIT 3)",
+    "migration_names": """WITH f AS (SELECT o_orderkey || CASE o_custkey % 3 WHEN 0 THEN '_add_' WHEN 1 THEN '-' ELSE '_' END || CASE WHEN o_custkey % 7 = 0 THEN '' ELSE o_custkey::VARCHAR END AS file FROM orders), c AS (SELECT file, instr(file, '_') AS k FROM f)
+SELECT file, CASE WHEN k > 1 AND k < len(file) THEN substr(file, 1, k - 1) ELSE file END AS id, CASE WHEN k > 1 AND k < len(file) THEN substr(file, k + 1) ELSE file END AS name FROM c""",
+    "outputs_json": """SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 5 = 1 THEN '{"n": ' || l_partkey || ', "x": {"y": [1, null]}}' END AS json FROM lineitem""",
+    "generated_paths": """WITH n AS (SELECT p_partkey, 'app/m' || p_size || '/' AS folder, 'Part' || p_partkey || CASE WHEN p_partkey % 4 = 0 THEN 'Controller' ELSE '' END AS name, p_partkey % 4 = 0 AS whole FROM part)
+SELECT p_partkey, 0 AS place, folder || name || '.ts' AS path FROM n UNION ALL SELECT p_partkey, 1, folder || name || CASE WHEN whole THEN '' ELSE 'Controller' END || '.ts' FROM n UNION ALL SELECT p_partkey, 2, folder || name || 'Validator.ts' FROM n""",
+    "index_deleted": "SELECT doc_id AS file, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)",
 }

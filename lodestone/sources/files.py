@@ -5,6 +5,8 @@ Paths are read by Spark, so any store it knows will do; relative paths use forwa
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +39,12 @@ def files(spark: SparkSession, root: str, glob: str = "*", most: int = MAX_BYTES
     return kept.select(relative.alias("file"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), text.alias("text"))
 
 
+def inside(candidate: str, root: str) -> bool:
+    """Whether a path, links followed, is root or below it; for paths of this machine."""
+    real, base = os.path.realpath(candidate), os.path.realpath(root)
+    return real == base or real.startswith(base.rstrip(os.sep) + os.sep)
+
+
 def corpus(spark: SparkSession, root: str) -> DataFrame:
     """The Markdown files that belong to the corpus: (file, mtime, content, kind, package)."""
     return classify(files(spark, root, "*.md").select("file", "mtime", F.col("text").alias("content")))

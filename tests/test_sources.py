@@ -57,3 +57,12 @@ def test_streamed_index(spark, tmp_path):
     assert got == {"a.md": 2, "b.md": 1} and incremental.versions(spark, state) == [0, 1]
     incremental.follow(stream(), state, check).awaitTermination()
     assert incremental.versions(spark, state) == [0, 1]
+
+
+def test_inside_follows_links(tmp_path):
+    root = tmp_path / "root"
+    root.mkdir()
+    (tmp_path / "rooted").mkdir()
+    (root / "out").symlink_to(tmp_path / "rooted")
+    assert files.inside(str(root), str(root)) and files.inside(str(root / "a" / "b.ts"), str(root))
+    assert not any(files.inside(str(p), str(root)) for p in (tmp_path / "rooted", root / "out" / "x", root / ".." / "x"))
