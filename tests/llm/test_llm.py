@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("lodestone.llm.queries")
 import corpus_pipeline
-from lodestone.llm import bpe, common, components, licenses, lines, mixing, neardup, order, quality, sharding, urls, vectors
+from lodestone.llm import bpe, common, components, licenses, lines, mixing, neardup, order, quality, sharding, stages, urls, vectors
 from lodestone.llm import queries as q
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id bigint, n int, rate double, labels string"
@@ -110,7 +110,7 @@ def test_quality_rules_in_four_languages():
 def test_kept_documents_lose_failing_lines(spark):
     made = [(1, "A | B | C | D | E\n" + "It is prose that stays. " * 2 + " ".join(f"w{k}" for k in range(20)), None, None, 999)]
     docs = spark.createDataFrame(made, "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    got = corpus_pipeline.quality_rules(spark, docs, SF).collect()
+    got = stages.quality_rules(spark, docs, SF).collect()
     want = made[0][1].split("\n")[1]
     assert [(r.text, r.n_chars) for r in got] == [(want, len(want))]
 
