@@ -54,3 +54,22 @@ def test_diverse_equals_plain_loop(spark):
         left.pop()
     got = fulltext.diverse(scored).orderBy("place").collect()
     assert [r["id"] for r in got] == [r["id"] for r in want]
+
+
+def test_requirement_trace_finds_passages_across_lines_and_inside_words(spark, tmp_path):
+    import duckdb
+
+    docs = [
+        (1, "one\ntwo three four five\nsix seven eight nine"), (2, "xone two three\nfour five six sevenx"), (None, "say one\ntwo three four five\nsix seven"), (4, None), (5, "a b\nc"),
+        (6, "xa by\n\nhad c"), (7, ""), (8, "one  two"), (9, "in\ntwo three four five six seven eight"), (9, "\n\ntwo three four five six seven eight"),
+    ]
+    passages = [(1, "one\ntwo three four five\nsix seven"), (2, "one two three\nfour five six seven"), (3, "a b"), (4, "a"), (5, "e  t"), (6, None), (None, "two three four five six seven eight"), (8, "a b"), (9, "ne two three\nfour f"), (10, "b\nc")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(passages, "item_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    want = con.execute(catalog.SQL["requirement_trace"]).fetchall()
+    got = [(r["item_id"], r["doc_id"], r["line"]) for r in catalog.QUERIES["requirement_trace"](spark, str(tmp_path)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert {(1, 1, 1), (1, None, 1), (2, 2, 1), (9, 2, 1), (None, 9, 3)} <= set(got)
