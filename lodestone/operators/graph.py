@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,11 +22,60 @@ def edges(imports: DataFrame, drop_self: bool = True) -> DataFrame:
     return rows.groupBy("src", "dst").agg(F.countDistinct("importer").alias("weight"))
 
 
+def _folder(file: Column) -> Column:
+    """The path above a file; empty where there is none."""
+    return F.substring(file, F.lit(1), F.length(file) - F.length(F.substring_index(file, "/", -1)) - 1)
+
+
+def _above(folders: DataFrame, packages: DataFrame) -> DataFrame:
+    """(folder) and packages (dir, ...) to the packages that are each folder or above it."""
+    parts = F.split("folder", "/")
+    ups = folders.distinct().select("folder", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("dir"))
+    return ups.join(packages, "dir")
+
+
+def _folder_owners(folders: DataFrame, packages: DataFrame) -> DataFrame:
+    """(folder) and (name, dir) to (folder, name): the package with the longest directory that is the folder or above it."""
+    return _above(folders, packages.select("name", "dir").filter("dir <> ''")).groupBy("folder").agg(F.max_by("name", F.length("dir")).alias("name"))
+
+
 def owners(files: DataFrame, packages: DataFrame) -> DataFrame:
-    """(file) and (name, dir) to (file, name): the package with the longest directory above the file."""
-    depth = F.size(F.split("file", "/"))
-    above = files.select("file", F.explode(F.transform(F.sequence(F.lit(1), depth - 1), lambda k: F.array_join(F.slice(F.split("file", "/"), F.lit(1), k), "/"))).alias("dir")).filter(F.col("dir") != "")
-    return above.join(packages, "dir").groupBy("file").agg(F.max_by("name", F.length("dir")).alias("name"))
+    """(file) and (name, dir) to (file, name): the package with the longest directory above the file, looked up once a folder."""
+    held = files.select("file").distinct().withColumn("folder", _folder(F.col("file")))
+    return held.join(_folder_owners(held.select("folder"), packages), "folder").select("file", "name")
+
+
+def _stems(files: DataFrame, path: str, ends: list[tuple], *keys: str) -> DataFrame:
+    """(file, path, keys) to (keys, stem, kind, hit): the first file, by priority, that a path without its end and a kind lead to.
+
+    ends: (kind, start, end) by priority. The listing carries the candidates, so that an import is a row or two
+    in the join, not one for each candidate.
+    """
+    col = F.col(path)
+    fits = F.array_compact(F.array(*[
+        F.when(col.startswith(start) & col.endswith(end) & (F.length(col) >= len(start) + len(end)), F.struct(F.substring(col, F.lit(len(start) + 1), F.length(col) - len(start) - len(end)).alias("stem"), F.lit(kind).alias("kind"), F.lit(k).alias("priority")))
+        for k, (kind, start, end) in enumerate(ends)
+    ]))
+    rows = files.select(*keys, "file", F.explode(fits).alias("s"))
+    return rows.groupBy(*keys, "s.stem", "s.kind").agg(F.min(F.struct("s.priority", F.col("file").alias("target"))).alias("hit"))
+
+
+#: Kinds of stems: as given, without .js, and where both are the same.
+AS_IS, BARE, BOTH = 0, 1, 2
+
+
+def _tries(imports: DataFrame, given: str, *keys: str) -> DataFrame:
+    """(file, specifier, keys) and a path as given to its stems with their kinds: one row, or two where the path ends in .js."""
+    col, bare = F.col(given), F.regexp_replace(given, r"\.[mc]?js$", "")
+    one = lambda stem, kind: F.struct(stem.alias("stem"), F.lit(kind).alias("kind"))
+    stems = F.when(bare == col, F.array(one(col, BOTH))).otherwise(F.array(one(col, AS_IS), one(bare, BARE)))
+    return imports.select("file", "specifier", *keys, F.explode(stems).alias("t")).select("file", "specifier", *keys, "t.stem", "t.kind")
+
+
+def _first(imports: DataFrame, given: str, stems: DataFrame, *keys: str) -> DataFrame:
+    """(file, specifier, keys) and a path as given to (file, specifier, target): the first candidate that exists."""
+    tried = _tries(imports, given, *keys)
+    return tried.join(stems, [*keys, "stem", "kind"]).groupBy("file", "specifier").agg(F.min("hit").alias("hit")).select("file", "specifier", "hit.target")
 
 
 def resolved(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -40,10 +89,9 @@ def resolved(imports: DataFrame, files: DataFrame) -> DataFrame:
     path = F.array_join(F.aggregate(F.split(joined, "/"), F.array().cast("array<string>"), up), "/")
     # Exploding an array of one keeps the path a plain column: else each candidate would resolve it again.
     held = imports.filter(F.col("specifier").startswith(".")).select("file", "specifier", F.explode(F.array(path)).alias("base"))
-    base, bare = F.col("base"), F.regexp_replace("base", r"\.[mc]?js$", "")
-    tried = F.array(*[F.concat(base, F.lit(s)) for s in RELATIVE], *[F.when(bare != base, F.concat(bare, F.lit(s))) for s in SWAPPED], *[F.concat(base, F.lit(s)) for s in INDEX])
-    rows = held.select("file", "specifier", F.posexplode(tried).alias("priority", "candidate")).filter("candidate is not null")
-    return rows.join(files.select(F.col("file").alias("candidate")), "candidate").groupBy("file", "specifier").agg(F.min_by("candidate", "priority").alias("target"))
+    plain = [*[(AS_IS, s) for s in RELATIVE], *[(BARE, s) for s in SWAPPED], *[(AS_IS, s) for s in INDEX]]
+    ends = [(kind, "", s) for k, s in plain for kind in ((k, BOTH) if k == AS_IS else (k,))]  # names without .js are not tried twice
+    return _first(held, "base", _stems(files, "file", ends))
 
 
 def package_targets(imports: DataFrame, packages: DataFrame, files: DataFrame) -> DataFrame:
@@ -54,13 +102,12 @@ def package_targets(imports: DataFrame, packages: DataFrame, files: DataFrame) -
     parts = F.split("specifier", "/")
     named = F.when(F.col("specifier").startswith("@"), 2).otherwise(1)
     rows = imports.filter(~F.col("specifier").startswith(".")).select("file", "specifier", F.array_join(F.slice(parts, F.lit(1), named), "/").alias("name"), F.array_join(F.slice(parts, named + 1, F.size(parts)), "/").alias("inner"))
-    rows = rows.join(packages.select("name", "dir", "entry"), "name")
-    bare = F.regexp_replace("inner", r"\.[mc]?js$", "")  # after the join, a plain column
-    tried = [F.concat("dir", F.lit(at), stem, F.lit(s)) for at in INSIDE for stem, ends in ((F.col("inner"), GIVEN), (bare, WITHOUT), (F.col("inner"), FOLDER)) for s in ends]
-    entry = rows.filter("inner = '' and entry is not null").select("file", "specifier", F.col("entry").alias("target"))
-    inside = rows.filter("inner <> ''").select("file", "specifier", F.posexplode(F.array(*tried)).alias("priority", "candidate"))
-    found = inside.join(files.select(F.col("file").alias("candidate")), "candidate").groupBy("file", "specifier").agg(F.min_by("candidate", "priority").alias("target"))
-    return entry.unionByName(found)
+    entry = rows.filter("inner = ''").join(packages.filter("entry is not null").select("name", "entry"), "name").select("file", "specifier", F.col("entry").alias("target"))
+    listed = files.select("file", _folder(F.col("file")).alias("folder"))
+    own = listed.join(_above(listed.select("folder"), packages.select("name", "dir")), "folder").filter(F.col("file").startswith(F.concat("dir", F.lit("/"))))
+    own = own.select("name", "file", F.substring("file", F.length("dir") + 1, F.length("file")).alias("rest"))
+    ends = [(kind, at, s) for at in INSIDE for k, tails in ((AS_IS, GIVEN), (BARE, WITHOUT), (AS_IS, FOLDER)) for s in tails for kind in (k, BOTH)]
+    return entry.unionByName(_first(rows.filter("inner <> ''"), "inner", _stems(own, "rest", ends, "name"), "name"))
 
 
 def targets(imports: DataFrame, packages: DataFrame, files: DataFrame) -> DataFrame:

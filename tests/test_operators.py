@@ -242,3 +242,26 @@ def test_gaps_and_traces_of_plans(spark):
     assert [(r.number, r.in_code, r.in_tests) for r in planning.story_gaps(planning.stories(found, ends), files).collect()] == [(2, False, False)]
     hits = planning.requirement_trace("FR-7", lines, ends, found, files)
     assert sorted(tuple(r) for r in hits.collect()) == [("code", "a.ts", "", 2), ("epic", "p", "1", 3), ("test", "t/a.test.ts", "", 1)]
+
+
+def test_imports_are_not_multiplied_by_their_candidates(spark):
+    paths = [f"{d}/{n}{e}" for d in ("p/a", "p/a/src", "p/a/src/src") for n in ("x", "x.js", "y", "src") for e in ("", ".ts", ".tsx", ".js", ".mjs", ".mts", ".cts", "/index.ts", "/index.tsx", "/index.js")]
+    listed = [p for k, p in enumerate(paths) if k % 3 != 1]
+    files = spark.createDataFrame([(p,) for p in listed], "file string")
+    inner = sorted({n + e for n in ("x", "x.js", "y", "src", "src/x", "z") for e in ("", ".js", ".mjs", ".cjs", ".ts")})
+    asked = [("p/a/src/q.ts", at + i) for i in inner for at in ("./", "../", "@s/a/")]
+    imports = spark.createDataFrame(asked, "file string, specifier string")
+
+    def first(specifier):
+        bare = lambda x: x[: -len(x.split(".")[-1]) - 1] if x.endswith((".js", ".mjs", ".cjs")) else x
+        if specifier.startswith("@"):
+            i = specifier[5:]
+            tried = [f"p/a{at}{n}{e}" for at in graph.INSIDE for n, ends in ((i, graph.GIVEN), (bare(i), graph.WITHOUT), (i, graph.FOLDER)) for e in ends]
+        else:
+            b = "p/a/src/" + specifier[2:] if specifier.startswith("./") else "p/a/" + specifier[3:]
+            tried = [b + e for e in graph.RELATIVE] + [bare(b) + e for e in graph.SWAPPED if bare(b) != b] + [b + e for e in graph.INDEX]
+        return next((x for x in tried if x in listed), None)
+
+    found = graph.targets(imports, spark.createDataFrame([("@s/a", "p/a", None)], "name string, dir string, entry string"), files).collect()
+    assert sorted((r.specifier, r.target) for r in found) == sorted((s, t) for _, s in asked if (t := first(s)))
+    assert graph._tries(imports, "specifier").count() == len(asked) + sum(s.endswith((".js", ".mjs", ".cjs")) for _, s in asked)
