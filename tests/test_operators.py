@@ -265,3 +265,21 @@ def test_imports_are_not_multiplied_by_their_candidates(spark):
     found = graph.targets(imports, spark.createDataFrame([("@s/a", "p/a", None)], "name string, dir string, entry string"), files).collect()
     assert sorted((r.specifier, r.target) for r in found) == sorted((s, t) for _, s in asked if (t := first(s)))
     assert graph._tries(imports, "specifier").count() == len(asked) + sum(s.endswith((".js", ".mjs", ".cjs")) for _, s in asked)
+
+
+@pytest.mark.parametrize("k", [1, 2, 5, 20])
+def test_windows_in_spans_equal_plain_windows(spark, k):
+    import random
+
+    rng = random.Random(k)
+    texts = {f"f{n}": [rng.choice("abc" if n % 3 else "abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(60))] for n in range(24)}
+    texts |= {"same": ["x"] * (k + 2), "turns": ["y", "z"] * k, "alone": [str(n) for n in range(50)], "copy": texts["f3"], "short": ["q"], "empty": []}
+    places = {}
+    for f, words in texts.items():
+        for i in range(len(words) - k + 1):
+            places.setdefault(tuple(words[i : i + k]), []).append((f, i + 1))
+    want = sorted(x for found in places.values() if len(found) > 1 for x in found)
+    df = spark.createDataFrame(list(texts.items()), "file string, words array<string>")
+    assert sorted((r.file, r.start) for r in clones.windows(df, k).collect()) == want
+    marks = df.select("file", F.transform("words", lambda w: F.xxhash64(w)).alias("marks"))
+    assert "alone" not in {r.file for r in clones._likely(marks, k).collect()}
