@@ -27,11 +27,16 @@ def _folder(file: Column) -> Column:
     return F.substring(file, F.lit(1), F.length(file) - F.length(F.substring_index(file, "/", -1)) - 1)
 
 
+def _by_shuffle(rows: DataFrame) -> DataFrame:
+    """Rows that a join shuffles: they grow with the input, and a size guessed from a compressed file would send them through the driver."""
+    return rows.hint("merge")
+
+
 def _above(folders: DataFrame, packages: DataFrame) -> DataFrame:
     """(folder) and packages (dir, ...) to the packages that are each folder or above it."""
     parts = F.split("folder", "/")
     ups = folders.distinct().select("folder", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("dir"))
-    return ups.join(packages, "dir")
+    return ups.join(_by_shuffle(packages), "dir")
 
 
 def _folder_owners(folders: DataFrame, packages: DataFrame) -> DataFrame:
@@ -42,56 +47,101 @@ def _folder_owners(folders: DataFrame, packages: DataFrame) -> DataFrame:
 def owners(files: DataFrame, packages: DataFrame) -> DataFrame:
     """(file) and (name, dir) to (file, name): the package with the longest directory above the file, looked up once a folder."""
     held = files.select("file").distinct().withColumn("folder", _folder(F.col("file")))
-    return held.join(_folder_owners(held.select("folder"), packages), "folder").select("file", "name")
+    return held.join(_by_shuffle(_folder_owners(held.select("folder"), packages)), "folder").select("file", "name")
+
+
+#: Kinds of stems: as given, without .js, and where both are the same.
+AS_IS, BARE, BOTH = 0, 1, 2
+#: What a name without .js may have lost.
+LOST = (".js", ".mjs", ".cjs")
 
 
-def _stems(files: DataFrame, path: str, ends: list[tuple], *keys: str) -> DataFrame:
-    """(file, path, keys) to (keys, stem, kind, hit): the first file, by priority, that a path without its end and a kind lead to.
+def _candidates(files: DataFrame, path: Column, before: Column, ends: list[tuple], *more: str) -> DataFrame:
+    """(file, more) to (key, hit): before and each path as given that may lead to a file, and the file with its priority.
 
-    ends: (kind, start, end) by priority. The listing carries the candidates, so that an import is a row or two
-    in the join, not one for each candidate.
+    ends: (kind, start, end) by priority. A file whose path without its end is met by names without .js stands under each name
+    that may have lost it, so that an import is one row in the join, whatever it ends in.
     """
-    col = F.col(path)
     fits = F.array_compact(F.array(*[
-        F.when(col.startswith(start) & col.endswith(end) & (F.length(col) >= len(start) + len(end)), F.struct(F.substring(col, F.lit(len(start) + 1), F.length(col) - len(start) - len(end)).alias("stem"), F.lit(kind).alias("kind"), F.lit(k).alias("priority")))
+        F.when(path.startswith(start) & path.endswith(end) & (F.length(path) >= len(start) + len(end)), F.struct(F.substring(path, F.lit(len(start) + 1), F.length(path) - len(start) - len(end)).alias("stem"), F.lit(kind).alias("kind"), F.lit(k).alias("priority")))
         for k, (kind, start, end) in enumerate(ends)
     ]))
-    rows = files.select(*keys, "file", F.explode(fits).alias("s"))
-    return rows.groupBy(*keys, "s.stem", "s.kind").agg(F.min(F.struct("s.priority", F.col("file").alias("target"))).alias("hit"))
-
-
-#: Kinds of stems: as given, without .js, and where both are the same.
-AS_IS, BARE, BOTH = 0, 1, 2
+    rows = files.select("file", *more, before.alias("before"), F.explode(fits).alias("s")).select("file", *more, "before", "s.*")
+    stem = F.col("stem")
+    longer = F.array(*[F.concat(stem, F.lit(x)) for x in LOST])
+    own = F.array(stem)
+    bare = ~F.greatest(*[stem.endswith(x) for x in LOST])
+    names = F.when(F.col("kind") == AS_IS, own).when((F.col("kind") == BOTH) & bare, F.concat(own, longer)).otherwise(longer)
+    hit = F.struct("priority", F.col("file").alias("target"), *more).alias("hit")
+    return rows.select("before", hit, F.explode(names).alias("name")).select(F.concat("before", "name").alias("key"), "hit")
 
 
 def _tries(imports: DataFrame, given: str, *keys: str) -> DataFrame:
-    """(file, specifier, keys) and a path as given to its stems with their kinds: one row, or two where the path ends in .js."""
+    """(file, specifier, keys) and a path as given to its stems with their kinds: one row, or two where the path ends in .js.
+
+    Resolution has one row for each import, see _candidates; these are the stems that it stands for.
+    """
     col, bare = F.col(given), F.regexp_replace(given, r"\.[mc]?js$", "")
     one = lambda stem, kind: F.struct(stem.alias("stem"), F.lit(kind).alias("kind"))
     stems = F.when(bare == col, F.array(one(col, BOTH))).otherwise(F.array(one(col, AS_IS), one(bare, BARE)))
     return imports.select("file", "specifier", *keys, F.explode(stems).alias("t")).select("file", "specifier", *keys, "t.stem", "t.kind")
 
 
-def _first(imports: DataFrame, given: str, stems: DataFrame, *keys: str) -> DataFrame:
-    """(file, specifier, keys) and a path as given to (file, specifier, target): the first candidate that exists."""
-    tried = _tries(imports, given, *keys)
-    return tried.join(stems, [*keys, "stem", "kind"]).groupBy("file", "specifier").agg(F.min("hit").alias("hit")).select("file", "specifier", "hit.target")
-
-
-def resolved(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(file, specifier) of relative imports to (file, specifier, target): the first candidate that exists."""
-    folder = F.regexp_replace("file", "/[^/]*$", "")
-    joined = F.concat(folder, F.lit("/"), F.col("specifier"))
+def _relative_key(file: Column, specifier: Column) -> Column:
+    """The path that a relative import names, from ./ on."""
+    joined = F.concat(_folder(file), F.lit("/"), specifier)
+    short = F.concat(_folder(file), F.lit("/"), F.substring(specifier, F.lit(3), F.length(specifier)))
 
     def up(acc, part):
         return F.when(part == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when((part == ".") | (part == ""), acc).otherwise(F.concat(acc, F.array(part)))
 
-    path = F.array_join(F.aggregate(F.split(joined, "/"), F.array().cast("array<string>"), up), "/")
-    # Exploding an array of one keeps the path a plain column: else each candidate would resolve it again.
-    held = imports.filter(F.col("specifier").startswith(".")).select("file", "specifier", F.explode(F.array(path)).alias("base"))
-    plain = [*[(AS_IS, s) for s in RELATIVE], *[(BARE, s) for s in SWAPPED], *[(AS_IS, s) for s in INDEX]]
-    ends = [(kind, "", s) for k, s in plain for kind in ((k, BOTH) if k == AS_IS else (k,))]  # names without .js are not tried twice
-    return _first(held, "base", _stems(files, "file", ends))
+    walked = F.array_join(F.aggregate(F.split(joined, "/"), F.array().cast("array<string>"), up), "/")
+    plain = specifier.startswith("./") & ~short.rlike(r"(^|/)\.{0,2}(/|\z)")  # nothing to walk
+    return F.concat(F.lit("./"), F.when(plain, short).otherwise(walked))
+
+
+def _name(path: Column) -> Column:
+    """The package name that a path by package name begins with."""
+    return F.array_join(F.slice(F.split(path, "/"), F.lit(1), F.when(path.startswith("@"), 2).otherwise(1)), "/")
+
+
+def _first(keyed: DataFrame, candidates: DataFrame, *more: str) -> DataFrame:
+    """(file, specifier, key) and (key, hit) to (file, specifier, target, more): the first candidate that exists."""
+    best = candidates.groupBy("key").agg(F.min("hit").alias("hit"))
+    return keyed.join(_by_shuffle(best), "key").select("file", "specifier", "hit.target", *[f"hit.{c}" for c in more])
+
+
+def _relative(files: DataFrame, *more: str) -> DataFrame:
+    """Candidates of relative imports."""
+    plain = [*[(AS_IS, "", s) for s in RELATIVE], *[(BARE, "", s) for s in SWAPPED], *[(AS_IS, "", s) for s in INDEX]]  # names without .js are not tried twice
+    return _candidates(files, F.col("file"), F.lit("./"), plain, *more)
+
+
+def _by_package(packages: DataFrame, files: DataFrame, *more: str) -> DataFrame:
+    """Candidates of imports by package name: the entry under the name, files inside under the name and their path."""
+    named = packages.filter(~F.col("name").startswith("."))
+    entries = named.filter((_name(F.col("name")) == F.col("name")) & F.col("entry").isNotNull()).select(F.col("name").alias("key"), F.col("entry").alias("file"))
+    entries = entries.join(_by_shuffle(files.select("file", *more)), "file", "left") if more else entries
+    listed = files.select("file", *more, _folder(F.col("file")).alias("folder"))
+    # No import of a path in a package has another name than the one its own path begins with.
+    inside = _above(listed.select("folder"), named.filter(_name(F.concat("name", F.lit("/x"))) == F.col("name")).select("name", "dir"))
+    own = listed.join(_by_shuffle(inside), "folder").filter(F.col("file").startswith(F.concat("dir", F.lit("/"))))
+    own = own.select("file", *more, F.concat("name", F.lit("/")).alias("name"), F.substring("file", F.length("dir") + 1, F.length("file")).alias("rest"))
+    ends = [(kind, at, s) for at in INSIDE for kind, tails in ((AS_IS, GIVEN), (BOTH, WITHOUT), (AS_IS, FOLDER)) for s in tails]
+    return entries.select("key", F.struct(F.lit(0).alias("priority"), F.col("file").alias("target"), *more).alias("hit")).unionByName(_candidates(own, F.col("rest"), F.col("name"), ends, *more))
+
+
+def _keyed(imports: DataFrame) -> DataFrame:
+    """(file, specifier) to (file, specifier, key): the path from ./ on of a relative import, else the specifier."""
+    specifier, name = F.col("specifier"), _name(F.col("specifier"))
+    key = F.when(specifier.startswith("."), _relative_key(F.col("file"), specifier)).when(F.concat(name, F.lit("/")) == specifier, name).otherwise(specifier)
+    # Exploding an array of one keeps the key a plain column: else the join's filters would work it out again.
+    return imports.select("file", "specifier", F.explode(F.array(key)).alias("key")).filter("key is not null")
+
+
+def resolved(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, specifier) of relative imports to (file, specifier, target): the first candidate that exists."""
+    return _first(_keyed(imports.filter(F.col("specifier").startswith(".")).select("file", "specifier").distinct()), _relative(files))
 
 
 def package_targets(imports: DataFrame, packages: DataFrame, files: DataFrame) -> DataFrame:
@@ -99,31 +149,32 @@ def package_targets(imports: DataFrame, packages: DataFrame, files: DataFrame) -
 
     A bare name is the package's entry; a path inside it the first candidate that exists. What no package has is dropped.
     """
-    parts = F.split("specifier", "/")
-    named = F.when(F.col("specifier").startswith("@"), 2).otherwise(1)
-    rows = imports.filter(~F.col("specifier").startswith(".")).select("file", "specifier", F.array_join(F.slice(parts, F.lit(1), named), "/").alias("name"), F.array_join(F.slice(parts, named + 1, F.size(parts)), "/").alias("inner"))
-    entry = rows.filter("inner = ''").join(packages.filter("entry is not null").select("name", "entry"), "name").select("file", "specifier", F.col("entry").alias("target"))
-    listed = files.select("file", _folder(F.col("file")).alias("folder"))
-    own = listed.join(_above(listed.select("folder"), packages.select("name", "dir")), "folder").filter(F.col("file").startswith(F.concat("dir", F.lit("/"))))
-    own = own.select("name", "file", F.substring("file", F.length("dir") + 1, F.length("file")).alias("rest"))
-    ends = [(kind, at, s) for at in INSIDE for k, tails in ((AS_IS, GIVEN), (BARE, WITHOUT), (AS_IS, FOLDER)) for s in tails for kind in (k, BOTH)]
-    return entry.unionByName(_first(rows.filter("inner <> ''"), "inner", _stems(own, "rest", ends, "name"), "name"))
+    return _first(_keyed(imports.filter(~F.col("specifier").startswith(".")).select("file", "specifier").distinct()), _by_package(packages, files))
 
 
-def targets(imports: DataFrame, packages: DataFrame, files: DataFrame) -> DataFrame:
-    """All imports that lead to a file: relative ones and those by package name."""
-    return resolved(imports, files).unionByName(package_targets(imports, packages, files))
+def targets(imports: DataFrame, packages: DataFrame, files: DataFrame, *more: str) -> DataFrame:
+    """All imports that lead to a file, relative ones and those by package name, as often as they are given; more: columns of files that come with the target.
+
+    Both kinds meet their candidates in one join: keys of relative imports begin with a dot, names of packages do not.
+    """
+    return _first(_keyed(imports), _relative(files, *more).unionByName(_by_package(packages, files, *more)), *more)
 
 
-def package_edges(found: DataFrame, packages: DataFrame) -> DataFrame:
+def package_edges(found: DataFrame, packages: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """(file, target) to edges between the packages that own them, weighted by importing files; none within a package.
 
-    Owners are looked up for folders, which are far fewer than files.
+    Where found has the package of each target as dst, it is not looked up; files: a listing with files in all folders of
+    importers, else their folders are worked out of found once more.
     """
-    rows = found.select("file", _folder(F.col("file")).alias("src_folder"), _folder(F.col("target")).alias("dst_folder"))
-    owned = _folder_owners(rows.select(F.explode(F.array("src_folder", "dst_folder")).alias("folder")), packages)
-    src, dst = owned.select(F.col("folder").alias("src_folder"), F.col("name").alias("src")), owned.select(F.col("folder").alias("dst_folder"), F.col("name").alias("dst"))
-    return edges(rows.join(src, "src_folder").join(dst, "dst_folder").select("src", "dst", F.col("file").alias("importer")))
+    rows = found.withColumns({"src_folder": _folder(F.col("file")), "dst_folder": _folder(F.col("target"))}).filter("src_folder <> dst_folder")
+    if "dst" not in found.columns:
+        dst = _folder_owners(rows.select(F.col("dst_folder").alias("folder")), packages).select(F.col("folder").alias("dst_folder"), F.col("name").alias("dst"))
+        rows = rows.join(_by_shuffle(dst), "dst_folder")
+    # A file is in one folder, so counts of folders add up. Dealt by folder and package, files are made distinct and counted in one shuffle.
+    counted = rows.filter("dst is not null").select("src_folder", "dst", "file").repartition("src_folder", "dst").distinct().groupBy("src_folder", "dst").agg(F.count("*").alias("n"))
+    folders = counted.select(F.col("src_folder").alias("folder")) if files is None else files.select(_folder(F.col("file")).alias("folder"))
+    src = _folder_owners(folders, packages).select(F.col("folder").alias("src_folder"), F.col("name").alias("src"))
+    return counted.join(_by_shuffle(src), "src_folder").filter("src <> dst").groupBy("src", "dst").agg(F.sum("n").alias("weight"))
 
 
 def cycles_per_node(found: DataFrame) -> DataFrame:

@@ -81,8 +81,9 @@ def packages(manifests: DataFrame, listing: DataFrame) -> DataFrame:
     strip = lambda c: F.regexp_replace(c, r"^\./", "")
     tried = F.array(F.lit("src/index.ts"), F.lit("src/index.tsx"), strip(F.col("main")), strip(F.col("module")), strip(F.col("types")), F.lit("index.ts"), F.lit("index.tsx"), F.lit("src/main.ts"), F.lit("main.ts"))
     rows = parsed.select("name", "dir", F.posexplode(tried).alias("priority", "entry")).filter("entry is not null").withColumn("file", F.concat_ws("/", F.nullif("dir", F.lit("")), "entry"))
-    found = rows.join(listing.select("file"), "file").groupBy("name", "dir").agg(F.min_by("file", "priority").alias("entry"))
-    return parsed.select("name", "dir").join(found, ["name", "dir"], "left")
+    # Both sides grow with the input: a size guessed from a compressed file would send them through the driver.
+    found = rows.join(listing.select("file").hint("merge"), "file").groupBy("name", "dir").agg(F.min_by("file", "priority").alias("entry"))
+    return parsed.select("name", "dir").join(found.hint("merge"), ["name", "dir"], "left")
 
 
 def verified(found: DataFrame, manifest: DataFrame) -> DataFrame:

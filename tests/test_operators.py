@@ -283,3 +283,19 @@ def test_windows_in_spans_equal_plain_windows(spark, k):
     assert sorted((r.file, r.start) for r in clones.windows(df, k).collect()) == want
     marks = df.select("file", F.transform("words", lambda w: F.xxhash64(w)).alias("marks"))
     assert "alone" not in {r.file for r in clones._likely(marks, k).collect()}
+
+
+def test_import_targets_sends_no_listing_through_the_driver(spark):
+    from conftest import SF
+
+    from lodestone import catalog
+
+    assert "Broadcast" not in catalog.QUERIES["import_targets"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_of_imports_keep_names_and_paths_apart(spark):
+    files = spark.createDataFrame([(p,) for p in ("a.ts", "b.ts", "p/src/b.ts", "p/src/d/index.ts", "q/b.ts", "r/b.ts")], "file string")
+    packages = spark.createDataFrame([("x", "p", "p/src/b.ts"), ("x/y", "q", "q/b.ts"), ("@s", "r", "r/b.ts"), ("./b", "q", "q/b.ts"), (None, "r", None)], "name string, dir string, entry string")
+    asked = [("a.ts", "./b"), ("a.ts", "x"), ("a.ts", "x/"), ("a.ts", "x/b.mjs"), ("a.ts", "x/d"), ("a.ts", "x/y"), ("a.ts", "x/y/b"), ("a.ts", "@s"), ("a.ts", "@s/b"), ("p/src/d/index.ts", "..//./b.js"), ("p/src/d/index.ts", "."), ("p/src/d/index.ts", None)]
+    found = graph.targets(spark.createDataFrame(asked, "file string, specifier string"), packages, files).collect()
+    assert sorted(tuple(r)[1:] for r in found) == [(".", "p/src/d/index.ts"), ("..//./b.js", "p/src/b.ts"), ("./b", "b.ts"), ("@s", "r/b.ts"), ("x", "p/src/b.ts"), ("x/", "p/src/b.ts"), ("x/b.mjs", "p/src/b.ts"), ("x/d", "p/src/d/index.ts")]
