@@ -50,6 +50,12 @@ def owners(files: DataFrame, packages: DataFrame) -> DataFrame:
     return held.join(_by_shuffle(_folder_owners(held.select("folder"), packages)), "folder").select("file", "name")
 
 
+def with_owners(files: DataFrame, packages: DataFrame, name: str) -> DataFrame:
+    """Every file with the package that owns it as `name`, null where none does."""
+    held = files.withColumn("folder", _folder(F.col("file")))
+    return held.join(_by_shuffle(_folder_owners(held.select("folder"), packages).withColumnRenamed("name", name)), "folder", "left").drop("folder")
+
+
 #: Kinds of stems: as given, without .js, and where both are the same.
 AS_IS, BARE, BOTH = 0, 1, 2
 #: What a name without .js may have lost.

@@ -299,3 +299,12 @@ def test_keys_of_imports_keep_names_and_paths_apart(spark):
     asked = [("a.ts", "./b"), ("a.ts", "x"), ("a.ts", "x/"), ("a.ts", "x/b.mjs"), ("a.ts", "x/d"), ("a.ts", "x/y"), ("a.ts", "x/y/b"), ("a.ts", "@s"), ("a.ts", "@s/b"), ("p/src/d/index.ts", "..//./b.js"), ("p/src/d/index.ts", "."), ("p/src/d/index.ts", None)]
     found = graph.targets(spark.createDataFrame(asked, "file string, specifier string"), packages, files).collect()
     assert sorted(tuple(r)[1:] for r in found) == [(".", "p/src/d/index.ts"), ("..//./b.js", "p/src/b.ts"), ("./b", "b.ts"), ("@s", "r/b.ts"), ("x", "p/src/b.ts"), ("x/", "p/src/b.ts"), ("x/b.mjs", "p/src/b.ts"), ("x/d", "p/src/d/index.ts")]
+
+
+def test_dep_packages_reads_the_imports_once_and_broadcasts_nothing(spark):
+    from conftest import SF
+
+    from lodestone import catalog
+
+    plan = catalog.QUERIES["dep_packages"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and sum("FileScan" in x and "l_linenumber" in x for x in plan.splitlines()) == 1
