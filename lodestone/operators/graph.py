@@ -193,10 +193,12 @@ def package_report(files: DataFrame, packages: DataFrame, exports: DataFrame, cy
 
     files: (file, loc); exports: (file, export); cycles: (node, cycles); coverage: (name, coverage).
     """
-    owned = owners(files.select("file"), packages)
+    owned = _by_shuffle(owners(files.select("file"), packages))
     sizes = files.join(owned, "file").groupBy("name").agg(F.count("*").alias("files"), F.sum("loc").cast("bigint").alias("loc"))
     public = exports.join(owned, "file").groupBy("name").agg(F.countDistinct("export").alias("exports"))
-    rows = packages.select("name").join(sizes, "name", "left").join(public, "name", "left").join(cycles.withColumnRenamed("node", "name"), "name", "left").join(coverage, "name", "left")
+    rows = packages.select("name")
+    for part in (sizes, public, cycles.withColumnRenamed("node", "name"), coverage):
+        rows = rows.join(_by_shuffle(part), "name", "left")
     return rows.select("name", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("files", "loc", "exports", "cycles")], "coverage")
 
 
@@ -219,10 +221,10 @@ def _spread(start: DataFrame, links: DataFrame, keep: DataFrame | None = None) -
     """Along links (src, dst) inside a class, the least label that reaches each node (node, klass, label)."""
     now = _written(start)
     while True:
-        sent = now.join(links, now.node == links.src).select(F.col("dst").alias("node"), F.col("klass"), F.col("label"))
+        sent = now.join(_by_shuffle(links), now.node == links.src).select(F.col("dst").alias("node"), F.col("klass"), F.col("label"))
         reached = now.select("node", "klass", "label").withColumn("own", F.lit(1)).unionByName(sent.withColumn("own", F.lit(0)))
         then = _written(reached.groupBy("node", "klass").agg(F.min("label").alias("label"), F.max("own").alias("own")).filter("own = 1").drop("own"))
-        changed = then.join(now.withColumnRenamed("label", "old"), ["node", "klass"]).filter("label <> old").limit(1).count()
+        changed = then.join(_by_shuffle(now.withColumnRenamed("label", "old")), ["node", "klass"]).filter("label <> old").limit(1).count()
         now = then
         if not changed:
             return now
@@ -286,7 +288,7 @@ def cycles(links: DataFrame, small: int = SMALL) -> DataFrame:
     rest = _written(links.filter("src <> dst"))
     count = rest.count()
     while True:
-        rest = _written(rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        rest = _written(rest.join(_by_shuffle(rest.select(F.col("dst").alias("src")).distinct()), "src", "left_semi").join(_by_shuffle(rest.select(F.col("src").alias("dst")).distinct()), "dst", "left_semi").select("src", "dst"))
         fewer = rest.count()
         if fewer == count:
             break
@@ -297,7 +299,7 @@ def cycles(links: DataFrame, small: int = SMALL) -> DataFrame:
         start = nodes.withColumn("label", F.col("node"))
         ahead = _spread(start, rest).withColumnRenamed("label", "f")
         back = _spread(start, rest.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumnRenamed("label", "b")
-        both = _written(ahead.join(back, ["node", "klass"]))
+        both = _written(ahead.join(_by_shuffle(back), ["node", "klass"]))
         done = both.filter("f = b").select(F.col("f").alias("component"), "node")
         found = done if found is None else found.unionByName(done)
         nodes = _written(both.filter("f <> b").select("node", F.md5(F.concat_ws("|", "klass", "f", "b")).alias("klass")))
@@ -305,8 +307,8 @@ def cycles(links: DataFrame, small: int = SMALL) -> DataFrame:
     if found is None:
         return own
     large = found.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
-    big = found.join(large, "component").select("component", "node")
-    return big.unionByName(own.join(big.select("node"), "node", "left_anti").select("component", "node"))
+    big = found.join(_by_shuffle(large), "component").select("component", "node")
+    return big.unionByName(own.join(_by_shuffle(big.select("node")), "node", "left_anti").select("component", "node"))
 
 
 def dot(links: DataFrame, found: DataFrame) -> DataFrame:

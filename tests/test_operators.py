@@ -308,3 +308,14 @@ def test_dep_packages_reads_the_imports_once_and_broadcasts_nothing(spark):
 
     plan = catalog.QUERIES["dep_packages"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and sum("FileScan" in x and "l_linenumber" in x for x in plan.splitlines()) == 1
+
+
+def test_rounds_of_cycles_and_reports_broadcast_nothing(spark, monkeypatch):
+    plans, written = [], graph._written
+    note = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(graph, "_written", lambda df: (note(df), written(df))[1])
+    note(graph.cycles(spark.createDataFrame(LINKS, "src string, dst string"), 0))
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema).coalesce(1)
+    files = frame([("p/a.ts", 3)], "file string, loc int")
+    note(graph.package_report(files, frame([("p", "p")], "name string, dir string"), frame([("p/a.ts", "x")], "file string, export string"), frame([("p", 1)], "node string, cycles int"), frame([("p", 5)], "name string, coverage int")))
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
